@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, sharding, toxicity
+from . import decontaminate, language, mixing, pii, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weigh(_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, each different text scanned once."""
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 of nearly equal bytes."""
     out = sharding.shard(_table(spark, sf_dir, "documents"), shards=8)
@@ -62,7 +72,7 @@ FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.do
 
 
 def queries() -> dict:
-    return {"op3_language": op3_language, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op10_sharding": op10_sharding}
+    return {"op3_language": op3_language, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict:
