@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, pii, secrets, sharding, toxicity
+from . import decontaminate, language, mixing, nearest, pii, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weigh(_table(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return nearest.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.report(_table(spark, sf_dir, "documents"))
@@ -72,7 +77,7 @@ FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.do
 
 
 def queries() -> dict:
-    return {"op3_language": op3_language, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_sharding": op10_sharding}
+    return {"op3_language": op3_language, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_nearest": op7_nearest, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict:
