@@ -26,8 +26,8 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample at the target weights, the largest that meets them in expectation."""
-    return mixing.sample(docs)
+    """A sample of four fifths of the tokens at the target weights; cells that run out are kept whole."""
+    return mixing.sample(docs, budget_share=0.8)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,12 +15,10 @@ from .common import settle
 
 OTHER = "*"
 AXES = ("source", "lang", "topic")
-#: Production targets: shares by level; ``*`` takes every other value, null included.
-TARGETS: dict[str, dict[str, float]] = {
-    "source": {"src0": 0.2, OTHER: 0.8},
-    "lang": {"en": 0.5, "de": 0.18, "fr": 0.17, "es": 0.12, OTHER: 0.03},
-    "topic": {"table": 0.1, "noise": 0.05, "note": 0.15, "article": 0.5, OTHER: 0.2},
-}
+#: Power of the observed shares that default targets follow: below 1 lifts rare levels.
+POWER = 0.7
+#: Levels of an axis with a target of their own, the largest first; all others share the level ``*``.
+MAX_LEVELS = 500
 _TOKEN = "[^ \\t\\n\\r\\f\\x0B]+"
 
 
@@ -75,23 +73,40 @@ def probabilities(tokens: np.ndarray, fitted: np.ndarray, budget: float | None)
     return np.minimum(1, high * ratio)
 
 
-def _strata(docs: DataFrame, targets: dict) -> DataFrame:
+def tempered(strata: DataFrame, power: float = POWER, levels: int = MAX_LEVELS) -> dict[str, dict[str, float]]:
+    """Targets in proportion to a power of the observed token shares, by axis."""
+    found = {}
+    for axis in AXES:
+        by = strata.groupBy(f"_{axis}").agg(F.sum("_tokens").alias("n")).where("n > 0")
+        total = by.agg(F.sum("n")).first()[0] or 0
+        own = {r[0]: r["n"] for r in by.where(F.col(f"_{axis}").isNotNull()).orderBy(F.desc("n"), f"_{axis}").limit(levels).collect()}
+        shares = own | {OTHER: own.pop(OTHER, 0) + total - sum(own.values())}
+        raised = {k: (v / total) ** power for k, v in shares.items() if v > 0}
+        found[axis] = {k: v / sum(raised.values()) for k, v in raised.items()}
+    return found
+
+
+def _strata(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("_tokens", F.regexp_count(text, F.lit(_TOKEN)).cast("long"))
-    df = df.withColumn("_topic", F.col("topic") if "topic" in docs.columns else topic_of(text, F.col("_tokens")))
-    for axis, name in zip(AXES, ("source", "lang", "_topic"), strict=True):
-        known = [v for v in targets[axis] if v != OTHER]
-        value = F.col(name).cast("string")
-        df = df.withColumn(f"_{axis}_level", F.when(value.isin(known), value).otherwise(OTHER))
+    df = df.withColumns({"_source": F.col("source").cast("string"), "_lang": F.col("lang").cast("string"), "_topic": F.col("topic").cast("string") if "topic" in docs.columns else topic_of(text, F.col("_tokens"))})
     return df.withColumn("_u", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / float(1 << 48))
 
 
+def _levelled(strata: DataFrame, targets: dict) -> DataFrame:
+    for axis in AXES:
+        known = strata.sparkSession.createDataFrame([(v, v) for v in targets[axis] if v != OTHER] or [(None, None)], f"_{axis} string, _{axis}_level string")
+        strata = strata.join(F.broadcast(known), f"_{axis}", "left").withColumn(f"_{axis}_level", F.coalesce(f"_{axis}_level", F.lit(OTHER)))  # bounded by the targets
+    return strata
+
+
 def _calibrated(strata: DataFrame, targets: dict, budget_share: float | None) -> DataFrame:
     """(levels, weight, probability) by cell; no more cells than the targets have combinations."""
     levels = [list(targets[a]) + ([] if OTHER in targets[a] else [OTHER]) for a in AXES]
+    places = [{v: i for i, v in enumerate(x)} for x in levels]
     cube = np.zeros([len(x) for x in levels])
     for r in strata.groupBy(*(f"_{a}_level" for a in AXES)).agg(F.sum("_tokens").alias("n")).collect():
-        cube[tuple(x.index(r[f"_{a}_level"]) for a, x in zip(AXES, levels, strict=True))] = r["n"]
+        cube[tuple(x[r[f"_{a}_level"]] for a, x in zip(AXES, places, strict=True))] = r["n"]
     fitted = rake(cube, [np.array([targets[a].get(v, 0.0) for v in x]) for a, x in zip(AXES, levels, strict=True)])
     p = probabilities(cube, fitted, None if budget_share is None else budget_share * cube.sum())
     share = np.divide(fitted * cube.sum(), cube, out=np.zeros_like(cube), where=cube > 0)
@@ -102,16 +117,20 @@ def _calibrated(strata: DataFrame, targets: dict, budget_share: float | None) ->
 def weigh(docs: DataFrame, targets: dict | None = None, budget_share: float | None = None) -> DataFrame:
     """One row per document row: doc_id, n_tokens, source, lang and topic level, weight, probability, draw, kept.
 
-    ``weight`` is the raked over the held tokens of the document's cell,
-    ``draw`` a fixed uniform number of the doc_id; a document is kept if it is
-    below ``probability``. Values without a target, nulls too, share the level
-    ``*``; without a target for ``*`` their weight is 0. Texts without tokens
-    weigh nothing in the fit and are drawn like their cell (never, if the whole
-    cell has no tokens). Repeated rows share one draw; an empty table gives no
-    rows. A column ``topic``, if there, is used; others are ignored.
+    ``targets`` gives the token share of each level of ``source``, ``lang`` and
+    ``topic``, with ``*`` for all other values; by default shares are tempered
+    (:func:`tempered`). ``weight`` is the raked over the held tokens of the
+    document's cell, ``draw`` a fixed uniform number of the doc_id; a document
+    is kept if it is below ``probability``. Values without a target, nulls
+    too, share the level ``*``; without a target for ``*`` their weight is 0.
+    Texts without tokens weigh nothing in the fit and are drawn like their cell
+    (never, if the whole cell has no tokens). Repeated rows share one draw; an
+    empty table gives no rows. A column ``topic``, if there, is used; others
+    are ignored.
     """
-    targets = targets or TARGETS
-    strata = settle(_strata(docs, targets).select("doc_id", "_tokens", *(f"_{a}_level" for a in AXES), "_u"))
+    strata = settle(_strata(docs).select("doc_id", "_tokens", *(f"_{a}" for a in AXES), "_u"))
+    targets = targets or tempered(strata)
+    strata = _levelled(strata, targets)
     cells = _calibrated(strata, targets, budget_share)
     out = strata.join(F.broadcast(cells), [f"_{a}_level" for a in AXES], "left")  # bounded by the targets
     p = F.coalesce("probability", F.lit(0.0))
@@ -120,7 +139,9 @@ def weigh(docs: DataFrame, targets: dict | None = None, budget_share: float | No
 
 def sample(docs: DataFrame, targets: dict | None = None, budget_share: float | None = None) -> DataFrame:
     """The documents that :func:`weigh` keeps, in their own columns."""
-    targets = targets or TARGETS
-    strata = _strata(docs, targets)
-    cells = _calibrated(strata, targets, budget_share)
-    return strata.join(F.broadcast(cells), [f"_{a}_level" for a in AXES], "left").where(F.col("_u") < F.coalesce("probability", F.lit(0.0))).select(*docs.columns)
+    strata = _strata(docs)
+    light = settle(strata.select("_tokens", *(f"_{a}" for a in AXES)))
+    targets = targets or tempered(light)
+    cells = _calibrated(_levelled(light, targets), targets, budget_share)
+    whole = _levelled(strata, targets)
+    return whole.join(F.broadcast(cells), [f"_{a}_level" for a in AXES], "left").where(F.col("_u") < F.coalesce("probability", F.lit(0.0))).select(*docs.columns)
