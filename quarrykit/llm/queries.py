@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, mixing, nearest, pii, secrets, sharding, toxicity
+from . import decontaminate, jaccard, language, mixing, nearest, pii, secrets, sharding, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document inside 100-byte strings that start earlier."""
+    return suffix.dedup(_table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document at a shingle similarity of 0.8."""
     return jaccard.join(_table(spark, sf_dir, "documents"))
@@ -82,7 +87,7 @@ FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.do
 
 
 def queries() -> dict:
-    return {"op2_jaccard": op2_jaccard, "op3_language": op3_language, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_nearest": op7_nearest, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_sharding": op10_sharding}
+    return {"op1_suffix": op1_suffix, "op2_jaccard": op2_jaccard, "op3_language": op3_language, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_nearest": op7_nearest, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict:
