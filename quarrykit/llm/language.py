@@ -23,8 +23,8 @@ FAMILIES = {
     "sinitic": "zh yue wuu".split(),
 }
 #: Labelled rows that the classifiers are fitted on, over all languages together.
-TRAIN_ROWS = 2400
-_PAIRS, _TRIPLES = 2048, 8192
+TRAIN_ROWS = 1200
+_PAIRS, _TRIPLES = 1024, 4096
 WIDTH = _PAIRS + _TRIPLES
 _LETTERS = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -44,11 +44,11 @@ def features(text: str) -> np.ndarray:
     b = np.frombuffer(b" " + text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS) + b" ", np.uint8).astype(np.uint32)
     pair = b[:-1] * np.uint32(256) + b[1:]
     out = np.empty(WIDTH)
-    out[:_PAIRS] = np.bincount((pair * np.uint32(2654435761)) >> np.uint32(21), minlength=_PAIRS)
+    out[:_PAIRS] = np.bincount((pair * np.uint32(2654435761)) >> np.uint32(22), minlength=_PAIRS)
     triple = pair[:-1] * np.uint32(256) + b[2:]
-    out[_PAIRS:] = np.bincount((triple * np.uint32(2654435761)) >> np.uint32(19), minlength=_TRIPLES)
-    out[(32 * 256 + 32) * 2654435761 % (1 << 32) >> 21] = 0  # runs of blanks
-    out[_PAIRS + ((32 * 65536 + 32 * 256 + 32) * 2654435761 % (1 << 32) >> 19)] = 0
+    out[_PAIRS:] = np.bincount((triple * np.uint32(2654435761)) >> np.uint32(20), minlength=_TRIPLES)
+    out[(32 * 256 + 32) * 2654435761 % (1 << 32) >> 22] = 0  # runs of blanks
+    out[_PAIRS + ((32 * 65536 + 32 * 256 + 32) * 2654435761 % (1 << 32) >> 20)] = 0
     np.sqrt(out, out)
     norm = np.sqrt(out @ out)
     return (out / norm if norm else out).astype(np.float32)
@@ -56,11 +56,12 @@ def features(text: str) -> np.ndarray:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> np.ndarray:
     """Dual coordinate descent for the squared hinge loss; the last weight is the bias. ``y`` is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    x = x.astype(np.float32, copy=False)
     w, a = np.zeros(x.shape[1]), np.zeros(len(x))
     cost = c * len(y) / (2 * np.maximum(1, np.where(y > 0, (y > 0).sum(), (y < 0).sum())))
     diagonal = 1 / (2 * cost)
-    q = (x * x).sum(axis=1) + diagonal
+    q = np.einsum("ij,ij->i", x, x).astype(np.float64) + diagonal
     rng = np.random.default_rng(5)
     for _ in range(epochs):
         moved = 0.0
