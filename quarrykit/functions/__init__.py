@@ -1 +1 @@
-
+"""Column functions: text, paths and variables."""

@@ -1,20 +1,571 @@
-"""Registry of the named queries and their SQL."""
+"""The named queries of the library and the SQL that each equals."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrykit.functions import paths, text, variables
+from quarrykit.operators import briefs, edges, incremental, memory, retrieval
+from quarrykit.plans import adapters as A
+from quarrykit.sources import chunkers, extractors
+from quarrykit.streaming import windows
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hub files: the ten most referenced parts."""
-    edges = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return edges.groupBy("l_partkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_partkey").limit(10)
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL."""
+
+    def put(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# Text functions. Secrets, blank runs and headings are put into the texts on both sides, as the tables have few.
+
+_SEEDED = "text || ' ghp_' || repeat('a1', 20) || ' postgres://u:' || CAST(doc_id AS VARCHAR) || '@host/db AKIA' || repeat('Q', 16) || ' end'"
+
+
+def _seeded() -> F.Column:
+    return F.concat(F.col("text"), F.lit(" ghp_" + "a1" * 20 + " postgres://u:"), F.col("doc_id").cast("string"), F.lit("@host/db AKIA" + "Q" * 16 + " end"))
+
+
+@query(rf"""SELECT doc_id, sha256({{nested}}) AS scrubbed FROM (SELECT doc_id, {_SEEDED} AS t FROM documents)""".replace(
+    "{nested}",
+    "".join("regexp_replace(" for _ in text.SECRET_PATTERNS) + "t" + "".join(f", '{p}', 'CHANGE_ME', 'g')" for p in text.SECRET_PATTERNS),
+))
+def scrub_text(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.scrub(_seeded()), 256).alias("scrubbed"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(text, '\b(token[ \t\n\r\f\v]*=[ \t\n\r\f\v]*)"[^"]*"', '\1"CHANGE_ME"', 'g') AS masked FROM documents WHERE contains(text, 'token = "')""")
+def scrub_key_values(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents").where(F.contains("text", F.lit('token = "')))
+    return d.select("doc_id", text.scrub_assignments(F.col("text")).alias("masked"))
+
+
+@query("""SELECT key, replace(lower(key), '-', '_') SIMILAR TO '.*(password|passwd|secret|token|api_key|apikey|private_key|priv_key|role_id).*' AS sensitive
+FROM (SELECT DISTINCT event_type || suffix AS key FROM events, (VALUES ('-token'), ('_name'), ('.api-key'), ('ROLE_ID'), ('secre')) s(suffix))""")
+def sensitive_keys(spark, sf_dir):
+    tails = spark.createDataFrame([("-token",), ("_name",), (".api-key",), ("ROLE_ID",), ("secre",)], "suffix string")
+    kinds = A.table(spark, sf_dir, "events").select("event_type").distinct()
+    return kinds.crossJoin(F.broadcast(tails)).select(F.concat("event_type", "suffix").alias("key")).withColumn("sensitive", text.is_sensitive_key(F.col("key")))
+
+
+@query("""WITH t AS (SELECT doc_id, replace(replace(text, '. ', '.    '), ', ', ',' || chr(10) || '   ') AS t FROM documents),
+r AS (SELECT doc_id, t, list_sort(list_distinct(regexp_extract_all(t, '[ \\t\\n\\r\\f\\v]{3,}')), 'DESC') AS runs FROM t),
+s AS (SELECT doc_id, t, list_sort(list_transform(runs, lambda x: {'n': length(x), 'r': x}), 'DESC') AS runs FROM r)
+SELECT doc_id, sha256(c) AS packed, sha256(list_reduce(list_prepend(c, list_distinct(regexp_extract_all(c, '\\^(\\d+)\\^', 1))), lambda a, n: replace(a, '^' || n || '^', repeat(' ', CAST(n AS INTEGER))))) AS unpacked
+FROM (SELECT doc_id, list_reduce(list_prepend(t, list_transform(runs, lambda x: x.r)), lambda a, w: replace(a, w, '^' || CAST(length(w) AS VARCHAR) || '^')) AS c FROM s)""".replace("\\\\", "\\"))
+def whitespace_roundtrip(spark, sf_dir):
+    spaced = F.replace(F.replace("text", F.lit(". "), F.lit(".    ")), F.lit(", "), F.lit(",\n   "))
+    packed = A.table(spark, sf_dir, "documents").select("doc_id", text.compress(spaced).alias("c"))
+    return packed.select("doc_id", F.sha2("c", 256).alias("packed"), F.sha2(text.decompress(F.col("c")), 256).alias("unpacked"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash, CAST(octet_length(encode(text[1:100])) AS INTEGER) AS bytes_100, CAST(len(string_split(text[1:500], chr(10))) AS INTEGER) AS line_500, text[1:400] AS preview FROM documents")
+def hashes_and_offsets(spark, sf_dir):
+    t = F.col("text")
+    return A.table(spark, sf_dir, "documents").select("doc_id", text.content_hash(t).alias("content_hash"), text.byte_offset(t, F.lit(100)).alias("bytes_100"), text.line_of(t, F.lit(500)).alias("line_500"), text.preview(t).alias("preview"))
+
+
+@query(r"""SELECT page_id, CASE WHEN u = '' THEN NULL ELSE u END AS remote, sha256(url || '||en|10|1') AS cache_key FROM (SELECT page_id, url, regexp_replace(regexp_extract(w, '^([^:/]+://)([^/]*)([\s\S]*)$', 1) || lower(regexp_extract(w, '^([^:/]+://)([^/]*)([\s\S]*)$', 2)) || regexp_extract(w, '^([^:/]+://)([^/]*)([\s\S]*)$', 3), '\.git$', '') AS u
+FROM (SELECT page_id, url, regexp_replace(replace(url, '://', '://user:pw@') || '.git', '^(https?://)[^/@]+@', '\1') AS w FROM pages))""")
+def remote_and_cache_key(spark, sf_dir):
+    p = A.table(spark, sf_dir, "pages")
+    url = F.concat(F.replace("url", F.lit("://"), F.lit("://user:pw@")), F.lit(".git"))
+    return p.select("page_id", text.normalized_remote(url).alias("remote"), text.cache_key(F.col("url"), F.lit(None), F.lit("en"), F.lit(10)).alias("cache_key"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(l, '^(# |// |-- )', '')[1:160] AS first_line, len(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]{2,}')) AS n_terms
+FROM (SELECT doc_id, text, list_filter(list_transform(string_split('# ' || text, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '' AND NOT starts_with(s, '\"\"\"') AND NOT starts_with(s, ''''''''))[1] AS l FROM documents)""".replace('\\"', '"'))
+def first_lines_and_terms(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents")
+    ascii_lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n = F.size(F.regexp_extract_all(ascii_lower, F.lit("[a-z0-9_]{2,}"), F.lit(0))).cast("long")
+    return d.select("doc_id", text.first_line(F.concat(F.lit("# "), F.col("text"))).alias("first_line"), n.alias("n_terms"))
+
+
+@query("""SELECT event_id, CASE WHEN length(s) <= 12 THEN s ELSE rtrim(regexp_replace(s[1:12], ' [^ ]*$', ''), ' ') || '…' END AS short, trim(regexp_replace(s || ' <u@h.org>', ' *<[^>]*>', 'g')) AS author
+FROM (SELECT event_id, event_type || ' by user ' || CAST(user_id AS VARCHAR) AS s FROM events)""".replace("' *<[^>]*>', 'g'", "' *<[^>]*>', '', 'g'"))
+def truncated_words(spark, sf_dir):
+    s = F.concat("event_type", F.lit(" by user "), F.col("user_id").cast("string"))
+    return A.table(spark, sf_dir, "events").select("event_id", text.truncate_words(s, 12).alias("short"), text.short_author(F.concat(s, F.lit(" <u@h.org>"))).alias("author"))
+
+
+# Paths.
+
+_NAMES = ("x.py", "a.TS", "Dockerfile", "main.tf", "charts/c/templates/d.yaml", "Chart.yaml", "roles/r/tasks/main.yml", ".github/workflows/ci.yml", ".github/actions/a/action.yml", "k/kustomization.yaml", "noext", "b.csproj", "v.tfvars")
+
+
+@query("""WITH p AS (SELECT DISTINCT source || '/' || n AS rel_path, n FROM documents, (VALUES """ + ", ".join(f"('{n}')" for n in _NAMES) + """) v(n))
+SELECT rel_path, CASE WHEN n LIKE '%Dockerfile' THEN 'dockerfile' WHEN lower(n) LIKE '%.py' THEN 'python' WHEN lower(n) LIKE '%.ts' THEN 'typescript' WHEN n LIKE '%.tf' OR n LIKE '%.tfvars' THEN 'hcl' WHEN n LIKE '%.yaml' OR n LIKE '%.yml' THEN 'yaml' WHEN n LIKE '%.csproj' THEN 'msbuild' END AS lang,
+CASE WHEN n LIKE '%kustomization.yaml' THEN 'kustomize' WHEN n LIKE '%workflows/%' THEN 'gha_workflow' WHEN n LIKE '%action.yml' THEN 'gha_action' WHEN n LIKE '%Chart.yaml' THEN 'helm_chart' WHEN n LIKE '%/templates/%' THEN 'helm_template' WHEN n LIKE 'roles/%' THEN 'ansible' END AS flavor,
+false AS cicd, split_part(rel_path, '/', 1) AS top FROM p""")
+def path_classes(spark, sf_dir):
+    names = spark.createDataFrame([(n,) for n in _NAMES], "n string")
+    p = A.table(spark, sf_dir, "documents").select("source").distinct().crossJoin(F.broadcast(names)).select(F.concat_ws("/", "source", "n").alias("rel_path"))
+    path = F.col("rel_path")
+    return p.select("rel_path", paths.language(path).alias("lang"), paths.yaml_flavor(path).alias("flavor"), paths.is_cicd(path).alias("cicd"), paths.top_group(path).alias("top"))
+
+
+_RAW = "('/x/./y'), ('../u/v.py'), ('../../../z'), ('./w//q/../r'), ('k')"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT rel_path, raw, string_split(CASE WHEN starts_with(raw, '/') THEN raw ELSE regexp_replace(rel_path, '/?[^/]*$', '') || '/' || raw END, '/') AS parts
+FROM (SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.md' AS rel_path FROM documents WHERE lang = 'es') d, (VALUES {_RAW}) v(raw)),
+w AS (SELECT rel_path, raw, parts, 1 AS i, CAST([] AS VARCHAR[]) AS kept, false AS bad FROM p
+UNION ALL SELECT rel_path, raw, parts, i + 1, CASE WHEN parts[i] IN ('', '.') THEN kept WHEN parts[i] = '..' THEN kept[1:len(kept) - 1] ELSE list_append(kept, parts[i]) END, bad OR (parts[i] = '..' AND len(kept) = 0) FROM w WHERE i <= len(parts))
+SELECT rel_path, raw, CASE WHEN NOT bad THEN array_to_string(kept, '/') END AS target FROM w WHERE i = len(parts) + 1""")
+def resolve_relative(spark, sf_dir):
+    raws = spark.createDataFrame([("/x/./y",), ("../u/v.py",), ("../../../z",), ("./w//q/../r",), ("k",)], "raw string")
+    f = A.files(spark, sf_dir).where("lang = 'es'").select("rel_path").crossJoin(F.broadcast(raws))
+    return f.select("rel_path", "raw", paths.resolve(F.col("rel_path"), F.col("raw")).alias("target"))
+
+
+@query("""SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.md' AS rel_path, (source IN ('src1', 'src2') AND NOT (source = 'src1' AND lang = 'en')) OR regexp_matches(CAST(doc_id AS VARCHAR), '^1.*7$') AS ignored FROM documents""")
+def ignore_rules(spark, sf_dir):
+    rules = spark.createDataFrame([(1, "/src1/"), (2, "src2/"), (3, "!src1/en/"), (4, "1*7.md"), (5, "# note")], "ord int, pattern string")
+    return paths.ignored(A.files(spark, sf_dir).select("rel_path"), rules)
+
+
+# Edges and graphs.
+
+
+@query(f"""WITH {A.EDGES_SQL} SELECT project_id, count(*) AS total, count(target_file_id) AS resolved, count(*) FILTER (target_file_id IS NULL AND raw LIKE '%{{{{%') AS parametric,
+count(*) FILTER (target_file_id IS NULL AND raw NOT LIKE '%{{{{%' AND kind = 'unresolved') AS unresolved, count(*) FILTER (target_file_id IS NULL AND raw NOT LIKE '%{{{{%' AND kind <> 'unresolved') AS external FROM edges GROUP BY 1""")
+def edge_stats(spark, sf_dir):
+    return edges.stats(A.edges(spark, sf_dir))
+
+
+@query(f"WITH {A.EDGES_SQL} SELECT project_id, kind, count(*) AS n FROM edges GROUP BY 1, 2")
+def edges_by_kind(spark, sf_dir):
+    return edges.by_kind(A.edges(spark, sf_dir))
+
+
+@query(f"WITH {A.EDGES_SQL}, {A.PARTS_SQL} SELECT rel_path, count(*) AS in_degree FROM edges JOIN pfiles ON target_file_id = file_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def hub_files(spark, sf_dir):
+    return edges.hubs(A.edges(spark, sf_dir), A.parts_as_files(spark, sf_dir))
+
+
+@query(f"WITH {A.EDGES_SQL} SELECT source_file_id, kind, raw, min(line) AS line FROM edges GROUP BY 1, 2, 3")
+def edges_deduplicated(spark, sf_dir):
+    return edges.deduplicated(A.edges(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id, l_partkey, unnest([1, 2, 3]) AS pos FROM lineitem),
+t AS (SELECT edge_id, pos, CASE pos WHEN 1 THEN 'x/' || CAST(l_partkey AS VARCHAR) WHEN 2 THEN 'Brand_1/' || CAST(l_partkey AS VARCHAR) ELSE 'Brand_2/' || CAST(l_partkey AS VARCHAR) END AS rel_path FROM c),
+f AS (SELECT replace(p_brand, '#', '_') || '/' || CAST(p_partkey AS VARCHAR) AS rel_path, p_partkey AS file_id FROM part),
+hit AS (SELECT edge_id, arg_min(file_id, pos) AS target_file_id FROM t JOIN f USING (rel_path) GROUP BY 1)
+SELECT l_orderkey * 10 + l_linenumber AS edge_id, target_file_id FROM lineitem LEFT JOIN hit ON hit.edge_id = l_orderkey * 10 + l_linenumber""")
+def edge_resolve_candidates(spark, sf_dir):
+    e = A.table(spark, sf_dir, "lineitem").select(F.lit(1).alias("project_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), F.col("l_partkey").cast("string").alias("raw"))
+    guesses = F.array(*(F.concat(F.lit(d), F.col("raw")) for d in ("x/", "Brand_1/", "Brand_2/")))
+    return edges.first_match(e, A.parts_as_files(spark, sf_dir), guesses).select("edge_id", "target_file_id")
+
+
+_START = 100
+_BFS = """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 500 AS s, l_partkey % 500 AS t FROM lineitem WHERE l_returnflag <> 'N'),
+w AS (SELECT 100 AS file_id, 0 AS hops UNION SELECT {far}, hops + 1 FROM w JOIN e ON {near} = file_id WHERE hops < 2) SELECT CAST(file_id AS BIGINT) AS file_id, min(hops) AS hops FROM w GROUP BY 1"""
+
+
+def _folded(spark, sf_dir):
+    return A.table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select((F.col("l_orderkey") % 500).alias("source_file_id"), (F.col("l_partkey") % 500).alias("target_file_id"), F.lit("import").alias("kind"))
+
+
+@query(_BFS.format(near="s", far="t"))
+def relations_forward(spark, sf_dir):
+    return edges.traverse(_folded(spark, sf_dir), spark.createDataFrame([(_START,)], "file_id long"), 2)
+
+
+@query(_BFS.format(near="t", far="s"))
+def relations_reverse(spark, sf_dir):
+    return edges.traverse(_folded(spark, sf_dir), spark.createDataFrame([(_START,)], "file_id long"), 2, reverse=True)
+
+
+@query(f"""WITH {A.EDGES_SQL}, {A.PARTS_SQL}, e AS (SELECT *, CASE WHEN target_file_id IS NOT NULL THEN 'resolved' WHEN raw LIKE '%{{{{%' THEN 'parametric' WHEN kind = 'unresolved' THEN 'unresolved' ELSE 'external' END AS cls FROM edges)
+SELECT 'file:' || CAST(file_id AS VARCHAR) AS node_key, rel_path AS label, split_part(rel_path, '/', 1) AS node_group, 'dot' AS shape FROM pfiles WHERE file_id IN (SELECT source_file_id FROM e UNION SELECT target_file_id FROM e WHERE target_file_id IS NOT NULL)
+UNION ALL SELECT DISTINCT cls || ':' || raw, raw, cls, 'diamond' FROM e WHERE target_file_id IS NULL""")
+def graph_nodes(spark, sf_dir):
+    return edges.graph_nodes(A.edges(spark, sf_dir), A.parts_as_files(spark, sf_dir))
+
+
+@query("""WITH f AS (SELECT doc_id AS file_id, source || '/' || lang || '/' || CASE WHEN doc_id % 50 = 0 THEN 'Chart.yaml' ELSE CAST(doc_id AS VARCHAR) || '.md' END AS rel_path FROM documents),
+c AS (SELECT DISTINCT regexp_replace(rel_path, '/[^/]*$', '') AS dir FROM f WHERE rel_path LIKE '%Chart.yaml')
+SELECT file_id, regexp_replace(rel_path, '/[^/]*$', '') AS chart_dir FROM f WHERE regexp_replace(rel_path, '/[^/]*$', '') IN (SELECT dir FROM c)""")
+def nearest_chart(spark, sf_dir):
+    name = F.when(F.col("file_id") % 50 == 0, F.regexp_replace("rel_path", "[^/]*$", "Chart.yaml")).otherwise(F.col("rel_path"))
+    return edges.nearest_chart(A.files(spark, sf_dir).withColumn("rel_path", name))
+
+
+# Briefs.
+
+
+@query(f"""WITH {A.PARTS_SQL}, {A.EDGES_SQL}, {A.CHUNKS_SQL}, f AS (SELECT *, split_part(rel_path, '/', 1) AS dir FROM pfiles),
+l AS (SELECT dir, lang, count(*) AS n FROM f GROUP BY 1, 2), dl AS (SELECT dir, sum(n) AS file_count, (list(lang ORDER BY n DESC, lang))[1] AS dominant_lang FROM l GROUP BY 1),
+k AS (SELECT dir, kind, count(*) AS n FROM chunks JOIN f USING (file_id) GROUP BY 1, 2), tk AS (SELECT dir, array_to_string((list(kind ORDER BY n DESC, kind))[1:3], ',') AS top_kinds FROM k GROUP BY 1),
+dg AS (SELECT target_file_id AS file_id, count(*) AS n FROM edges WHERE target_file_id IS NOT NULL GROUP BY 1), en AS (SELECT dir, (list(rel_path ORDER BY n DESC, rel_path))[1] AS entrypoint FROM f JOIN dg USING (file_id) GROUP BY 1)
+SELECT dl.dir, CAST(file_count AS BIGINT) AS file_count, dominant_lang, coalesce(top_kinds, '') AS top_kinds, entrypoint FROM dl LEFT JOIN tk ON tk.dir = dl.dir LEFT JOIN en ON en.dir = dl.dir""")
+def dir_map(spark, sf_dir):
+    return briefs.directory_map(A.parts_as_files(spark, sf_dir), A.chunks(spark, sf_dir), A.edges(spark, sf_dir), 1)
+
+
+@query(f"""WITH {A.PARTS_SQL}, {A.CHUNKS_SQL}, {A.EDGES_SQL}, s AS (SELECT qualified_name, row_number() OVER (ORDER BY char_count DESC, start_line, chunk_id) AS r FROM chunks WHERE file_id = 7)
+SELECT CAST(file_id AS BIGINT) AS file_id, rel_path, lang, size, (SELECT max(end_line) FROM chunks WHERE file_id = 7) AS loc, (SELECT string_agg(qualified_name, ',' ORDER BY r) FROM s WHERE r <= 5) AS top_symbols,
+(SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT DISTINCT g.rel_path AS p FROM edges JOIN pfiles g ON g.file_id = source_file_id WHERE target_file_id = 7 ORDER BY 1 LIMIT 3)) AS inbound FROM pfiles WHERE file_id = 7""")
+def why_file(spark, sf_dir):
+    out = briefs.why(A.parts_as_files(spark, sf_dir), A.chunks(spark, sf_dir), A.edges(spark, sf_dir), _path_of(spark, sf_dir, 7))
+    return out.select("file_id", "rel_path", "lang", "size", "loc", F.array_join("top_symbols", ",").alias("top_symbols"), F.array_join("inbound", ",").alias("inbound"))
+
+
+def _path_of(spark, sf_dir, file_id):
+    return A.parts_as_files(spark, sf_dir).where(F.col("file_id") == file_id).first()["rel_path"]
+
+
+@query(f"WITH {A.PARTS_SQL}, {A.CHUNKS_SQL}, {A.EDGES_SQL} SELECT 1 AS project_id, (SELECT count(*) FROM pfiles) AS files, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM edges) AS edges")
+def corpus_brief(spark, sf_dir):
+    return briefs.corpus(A.parts_as_files(spark, sf_dir), A.chunks(spark, sf_dir), A.edges(spark, sf_dir))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def top_langs(spark, sf_dir):
+    return briefs.top_langs(A.files(spark, sf_dir))
+
+
+@query(f"WITH {A.FILES_SQL}, me AS (SELECT rel_path FROM files WHERE file_id = 0) SELECT f.rel_path FROM files f, me WHERE regexp_replace(f.rel_path, '/[^/]*$', '') = regexp_replace(me.rel_path, '/[^/]*$', '') AND f.rel_path <> me.rel_path ORDER BY 1 LIMIT 50")
+def file_siblings(spark, sf_dir):
+    f = A.files(spark, sf_dir)
+    return briefs.siblings(f, f.where("file_id = 0").first()["rel_path"])
+
+
+@query("""SELECT rel_path, CASE WHEN doc_id % 7 = 0 THEN 'new' WHEN doc_id % 11 = 0 THEN 'missing' ELSE 'changed' END AS state FROM (SELECT doc_id, source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.md' AS rel_path FROM documents)
+WHERE (doc_id % 7 = 0 AND doc_id % 11 <> 0) OR (doc_id % 11 = 0 AND doc_id % 7 <> 0) OR (doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 3 = 2)""")
+def stale_files(spark, sf_dir):
+    f = A.files(spark, sf_dir)
+    known = f.where("file_id % 7 <> 0").select("rel_path", F.lit(10.0).alias("mtime"))
+    listing = f.where("file_id % 11 <> 0").select("rel_path", (10.0 + F.col("file_id") % 3).alias("mtime"))
+    return briefs.staleness(known, listing)
+
+
+@query("SELECT p_size AS file_id, max(CAST(p_partkey % 40 + p_size AS INTEGER)) AS loc FROM part GROUP BY 1")
+def lines_of_code(spark, sf_dir):
+    return briefs.lines_of_code(A.chunks(spark, sf_dir))
+
+
+# Retrieval.
+
+_FIND = f"WITH {A.CHUNKS_SQL} SELECT chunk_id, name, qualified_name FROM chunks WHERE {{0}} ORDER BY (name = '{{1}}') DESC, chunk_id LIMIT 20"
+
+
+def _found(spark, sf_dir, name, mode):
+    return retrieval.find(A.chunks(spark, sf_dir), name, mode).select("chunk_id", "name", "qualified_name")
+
+
+@query(_FIND.format("name = 'red widget' OR qualified_name = 'red widget'", "red widget"))
+def find_exact(spark, sf_dir):
+    return _found(spark, sf_dir, "red widget", "exact")
+
+
+@query(_FIND.format("name LIKE 'red%' OR qualified_name LIKE 'red%'", "red"))
+def find_prefix(spark, sf_dir):
+    return _found(spark, sf_dir, "red", "prefix")
+
+
+@query(_FIND.format("regexp_matches(name, 'ring$') OR regexp_matches(qualified_name, 'ring$')", "ring$"))
+def find_regex(spark, sf_dir):
+    return _found(spark, sf_dir, "ring$", "regex")
+
+
+_Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
+_D = f"round(greatest(1 - list_inner_product(embedding::DOUBLE[], {_Q}), 0.0), 6)"
 
 
-def queries() -> dict:
-    return {}
+def _query_vector(spark, sf_dir):
+    return A.vectors(spark, sf_dir).where("chunk_id = 0").select("embedding")
+
+
+@query(f"SELECT vec_id AS chunk_id, {_D} AS distance FROM embeddings ORDER BY 2, 1 LIMIT 10")
+def vector_knn(spark, sf_dir):
+    return retrieval.knn(A.vectors(spark, sf_dir), _query_vector(spark, sf_dir), 10).select("chunk_id", "distance")
+
+
+@query(f"SELECT vec_id AS chunk_id, {_D} AS distance FROM embeddings WHERE label = 3 ORDER BY 2, 1 LIMIT 10")
+def vector_knn_filtered(spark, sf_dir):
+    return retrieval.knn(A.vectors(spark, sf_dir), _query_vector(spark, sf_dir), 10, where=F.col("kind") == 3).select("chunk_id", "distance")
+
+
+_BM25 = """WITH w AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[A-Za-z0-9_]{2,}') AS ws FROM documents),
+s AS (SELECT count(*) AS n, avg(len(ws)) AS al FROM w), q AS (SELECT unnest(['thand', 'ening', 'retion']) AS term),
+p AS (SELECT chunk_id, term, len(ws) AS dl, len(list_filter(ws, lambda x: x = term)) AS tf FROM w, q),
+d AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM p GROUP BY 1)
+SELECT chunk_id, round(sum(CASE WHEN tf > 0 THEN ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al)) ELSE 0 END), 6) AS score FROM p JOIN d USING (term), s GROUP BY 1 HAVING max(tf) > 0 ORDER BY 2 DESC, 1 LIMIT 10"""
+
+
+def _texts(spark, sf_dir):
+    return A.files(spark, sf_dir).select(F.col("file_id").alias("chunk_id"), "file_id", "stored_text", F.col("lang").alias("name"), F.col("rel_path").alias("qualified_name"))
+
+
+@query(_BM25)
+def bm25_grep(spark, sf_dir):
+    return retrieval.bm25(_texts(spark, sf_dir), ["thand", "ening", "retion"])
+
+
+def _grep_sql(condition: str) -> str:
+    return f"SELECT doc_id AS chunk_id FROM (SELECT doc_id, lower(text) AS t, lower(lang) AS l FROM documents) WHERE {condition}"
+
+
+def _matching(spark, sf_dir, q):
+    return _texts(spark, sf_dir).where(retrieval.predicate(q)).select("chunk_id")
+
+
+@query(_grep_sql(r"regexp_matches(t, '(^|[^a-z0-9_])thand([^a-z0-9_]|$)') AND (regexp_matches(t, '(^|[^a-z0-9_])ening([^a-z0-9_]|$)') OR NOT regexp_matches(t, '(^|[^a-z0-9_])the([^a-z0-9_]|$)'))"))
+def grep_boolean(spark, sf_dir):
+    return _matching(spark, sf_dir, "thand (ening OR NOT the)")
+
+
+@query(_grep_sql(r"regexp_matches(t, '(^|[^a-z0-9_])of[^a-z0-9_]+the([^a-z0-9_]|$)')"))
+def grep_phrase(spark, sf_dir):
+    return _matching(spark, sf_dir, '"of the"')
+
+
+@query(_grep_sql(r"regexp_matches(t, '(^|[^a-z0-9_])thereth') AND l = 'en'"))
+def grep_prefix_column(spark, sf_dir):
+    return _matching(spark, sf_dir, "thereth* name:en")
+
+
+_FUSED = f"""v AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY {_D}, vec_id) AS v FROM embeddings QUALIFY v <= 30), b AS ({_BM25.replace('LIMIT 10', 'LIMIT 30')}), t AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS t FROM b),
+f AS (SELECT coalesce(v.chunk_id, t.chunk_id) AS chunk_id, round(coalesce(1.0 / (60 + v), 0) + coalesce(1.0 / (60 + t), 0), 9) AS score, v, t FROM v FULL JOIN t ON v.chunk_id = t.chunk_id)"""
+
+
+def _fused(spark, sf_dir):
+    near = retrieval.ranked(retrieval.knn(A.vectors(spark, sf_dir), _query_vector(spark, sf_dir), 30), [F.col("distance"), F.col("chunk_id")])
+    said = retrieval.ranked(retrieval.bm25(_texts(spark, sf_dir), ["thand", "ening", "retion"], 30), [F.desc("score"), F.col("chunk_id")])
+    return retrieval.fuse(near, said, 30)
+
+
+@query(f"WITH {_FUSED} SELECT chunk_id, CAST(score AS DOUBLE) AS score FROM f ORDER BY score DESC, v NULLS LAST, t NULLS LAST LIMIT 30")
+def rrf_merge(spark, sf_dir):
+    return _fused(spark, sf_dir).select("chunk_id", "score")
+
+
+_RERANK = f"""WITH {_FUSED}, g AS (SELECT chunk_id, score FROM f ORDER BY score DESC, v NULLS LAST, t NULLS LAST LIMIT 30), dg AS (SELECT l_partkey AS chunk_id, count(*) AS n FROM lineitem GROUP BY 1),
+r AS (SELECT chunk_id, round(CAST(score AS DOUBLE) + CASE WHEN chunk_id % 3 = 0 THEN 0.01 ELSE 0 END + CASE WHEN chunk_id % 5 = 0 THEN 0.02 ELSE 0 END + 0.005 * ln(1 + coalesce(n, 0)), 9) AS score FROM g LEFT JOIN dg USING (chunk_id))"""
+
+
+def _asked(spark, sf_dir, k):
+    f = A.files(spark, sf_dir).select("file_id")
+    degrees = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("file_id")).agg(F.count("*").alias("in_degree"))
+    return retrieval.ask(_texts(spark, sf_dir), A.vectors(spark, sf_dir), "thand ening retion", _query_vector(spark, sf_dir), k, f.where("file_id % 3 = 0"), f.where("file_id % 5 = 0"), degrees)
+
+
+@query(f"{_RERANK} SELECT chunk_id, score FROM r ORDER BY score DESC, chunk_id LIMIT 10")
+def hybrid_ask(spark, sf_dir):
+    return _asked(spark, sf_dir, 10).select("chunk_id", "score")
+
+
+@query(f"{_RERANK}, n AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM r QUALIFY rank <= 10) SELECT chunk_id, CAST(rank AS INTEGER) AS rank, rank <= 5 AS kept FROM n")
+def token_budget(spark, sf_dir):
+    return retrieval.within_budget(_asked(spark, sf_dir, 10), [F.desc("score"), F.col("chunk_id")], 200).select("chunk_id", "rank", "kept")
+
+
+# Incremental indexing and variables.
+
+_OLD = "doc_id % 10 <> 0"
+_NEW_TEXT = "CASE WHEN doc_id % 4 = 1 THEN text || '!' ELSE text END"
+
+
+@query(f"""SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.md' AS rel_path, CASE WHEN doc_id % 10 = 0 THEN 'new' WHEN doc_id % 9 = 0 THEN 'deleted' WHEN doc_id % 4 = 1 THEN 'changed' ELSE 'unchanged' END AS state FROM documents WHERE NOT (doc_id % 10 = 0 AND doc_id % 9 = 0)""")
+def content_hash_diff(spark, sf_dir):
+    f = A.files(spark, sf_dir)
+    new = f.where("file_id % 9 <> 0").select("rel_path", F.sha2(F.when(F.col("file_id") % 4 == 1, F.concat("stored_text", F.lit("!"))).otherwise(F.col("stored_text")), 256).alias("content_hash"))
+    return incremental.file_diff(f.where("file_id % 10 <> 0"), new)
+
+
+@query("""WITH c AS (SELECT l_orderkey AS file_id, l_returnflag || l_linestatus AS content_hash, l_orderkey * 10 + l_linenumber AS chunk_id, l_linenumber AS n FROM lineitem),
+o AS (SELECT file_id, content_hash, chunk_id AS old_chunk_id, row_number() OVER (PARTITION BY file_id, content_hash ORDER BY chunk_id DESC) AS k FROM c WHERE n <= 4),
+w AS (SELECT file_id, content_hash, chunk_id AS new_chunk_id, row_number() OVER (PARTITION BY file_id, content_hash ORDER BY chunk_id) AS k FROM c WHERE n >= 3)
+SELECT coalesce(o.file_id, w.file_id) AS file_id, coalesce(o.content_hash, w.content_hash) AS content_hash, old_chunk_id, new_chunk_id FROM o FULL JOIN w ON o.file_id = w.file_id AND o.content_hash = w.content_hash AND o.k = w.k""")
+def chunk_reuse(spark, sf_dir):
+    c = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.concat("l_returnflag", "l_linestatus").alias("content_hash"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), F.col("l_linenumber").alias("n"))
+    # A line number repeats within an order; one of each is a chunk of its own.
+    return incremental.chunk_reuse(c.where("n <= 4"), c.where("n >= 3"))
+
+
+_VARS = """h AS (SELECT 1 AS project_id, event_type AS scope, 'u' || CAST(user_id AS VARCHAR) AS name, CAST(value AS VARCHAR) AS value, CASE WHEN event_id % 3 = 0 THEN 'manual' ELSE 'auto:x' END AS source, ts AS created_at, ts AS updated_at FROM events)"""
+
+
+def _vars(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events")
+    return e.select(F.lit(1).alias("project_id"), F.col("event_type").alias("scope"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), F.col("value").cast("string").alias("value"), F.when(F.col("event_id") % 3 == 0, "manual").otherwise("auto:x").alias("source"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
+
+
+@query(f"WITH {_VARS} SELECT project_id, scope, name, arg_max(source, (source = 'manual', updated_at)) AS source, min(created_at) AS created_at, arg_max(updated_at, (source = 'manual', updated_at)) AS updated_at FROM h GROUP BY 1, 2, 3")
+def upsert_vars(spark, sf_dir):
+    v = _vars(spark, sf_dir)
+    half = F.dayofmonth("created_at") <= 15
+    return variables.upsert(v.where(half), v.where(~half)).drop("value")
+
+
+@query(f"WITH {_VARS}, s AS (SELECT DISTINCT project_id, scope, name FROM h WHERE day(created_at) > 29) SELECT h.scope, h.name, h.source, count(*) AS n FROM h WHERE source = 'manual' OR EXISTS (SELECT 1 FROM s WHERE s.scope = h.scope AND s.name = h.name) GROUP BY 1, 2, 3")
+def stale_delete(spark, sf_dir):
+    v = _vars(spark, sf_dir)
+    return variables.without_stale(v, v.where(F.dayofmonth("created_at") > 29)).groupBy("scope", "name", "source").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, replace('a/{{ kind }}/{{ other }}', '{{ kind }}', event_type) AS once, false AS complete, 'x/' || event_type || '.tf' AS tf, true AS tf_complete FROM events""")
+def var_substitute(spark, sf_dir):
+    values = F.create_map(F.lit("kind"), F.col("event_type"))
+    e = A.table(spark, sf_dir, "events").select("event_id", variables.substitute(F.lit("a/{{ kind }}/{{ other }}"), values, "jinja").alias("j"), variables.substitute(F.lit("x/${var.kind}.tf"), values, "terraform").alias("t"))
+    return e.select("event_id", F.col("j.text").alias("once"), F.col("j.complete").alias("complete"), F.col("t.text").alias("tf"), F.col("t.complete").alias("tf_complete"))
+
+
+@query("""WITH e AS (SELECT CASE WHEN event_type IN ('click', 'error') THEN 'all' ELSE event_type END AS scope, 'u' || CAST(user_id AS VARCHAR) AS name FROM events), d AS (SELECT DISTINCT scope, name FROM e WHERE scope IN ('all', 'view'))
+SELECT name, max(scope) AS value FROM d GROUP BY 1""")
+def scope_merge(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").select(F.lit(1).alias("project_id"), F.when(F.col("event_type").isin("click", "error"), "all").otherwise(F.col("event_type")).alias("scope"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"))
+    return variables.in_scope(e.distinct().withColumn("value", F.col("scope")), "view").select("name", "value")
+
+
+# Chunking and extraction.
+
+
+@query("""WITH l AS (SELECT doc_id, i, CASE WHEN i % 5 = 3 THEN '# ' || x ELSE x END AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+s AS (SELECT *, sum(CASE WHEN regexp_matches(x, '^#{1,2}[ \\t].*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM l)
+SELECT doc_id AS file_id, CAST(sec AS INTEGER) AS ord, CAST(min(i) AS INTEGER) AS start_line, CAST(max(i) AS INTEGER) AS end_line, sha256(string_agg(x, chr(10) ORDER BY i)) AS hash FROM s GROUP BY 1, 2""".replace("\\\\", "\\"))
+def markdown_sections(spark, sf_dir):
+    headed = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 2, F.concat(F.lit("# "), x)).otherwise(x)), "\n")
+    d = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), headed.alias("content"))
+    return chunkers.markdown(d).select("file_id", "ord", "start_line", "end_line", F.sha2("text", 256).alias("hash"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE length(text) > 1500),
+w AS (SELECT doc_id, ls, 1 AS i, 0 AS part, CAST(0 AS BIGINT) AS open, false AS started, CAST(NULL AS VARCHAR) AS cur FROM l
+UNION ALL SELECT doc_id, ls, i + 1, CASE WHEN started AND open + 1 + length(ls[i]) > 1500 THEN part + 1 ELSE part END, CASE WHEN started AND open + 1 + length(ls[i]) <= 1500 THEN open + 1 + length(ls[i]) ELSE length(ls[i]) END, true, ls[i] FROM w WHERE i <= len(ls))
+SELECT doc_id AS chunk_id, part, CAST(count(*) AS BIGINT) AS n_lines, max(open) AS n_chars FROM w WHERE started GROUP BY 1, 2
+UNION ALL SELECT doc_id, 0, CAST(len(string_split(text, chr(10))) AS BIGINT), length(text) FROM documents WHERE length(text) <= 1500""")
+def big_split_windows(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("stored_text"))
+    return incremental.big_split(d).select("chunk_id", "part", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query("""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS raw FROM pages) SELECT raw, count(*) AS n, count(DISTINCT page_id) AS pages FROM h GROUP BY 1""")
+def page_links(spark, sf_dir):
+    links = extractors.links(A.table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("html").alias("content")))
+    return links.groupBy("raw").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("pages"))
+
+
+@query("""SELECT doc_id AS file_id, 'dotnet_project_reference' AS kind, '../L' || CAST(doc_id % 7 AS VARCHAR) || '.csproj' AS raw FROM documents
+UNION ALL SELECT doc_id, 'unresolved', '$(X)/a.csproj' FROM documents""")
+def msbuild_references(spark, sf_dir):
+    xml = F.concat(F.lit('<Project><ItemGroup>\n<ProjectReference Include="../L'), (F.col("doc_id") % 7).cast("string"), F.lit('.csproj;$(X)/a.csproj" />\n</ItemGroup></Project>'))
+    d = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), xml.alias("content"))
+    return extractors.msbuild(d).select("file_id", "kind", "raw")
+
+
+# Memory.
+
+
+@query("""SELECT event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
+def latest_per_topic(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), F.col("ts").alias("created_at"), F.col("event_id").alias("decision_id"))
+    return memory.latest_per_topic(e).select(F.col("topic").alias("event_type"), F.col("decision_id").alias("event_id"), F.col("created_at").alias("ts"))
+
+
+@query("SELECT event_id AS id, ts AS created_at FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY ORDER BY ts DESC, event_id DESC LIMIT 50")
+def recent_history(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    return memory.recent(e, 50, 7, F.to_timestamp(F.lit("2024-01-31 00:00:00")))
+
+
+@query("""WITH n AS (SELECT 'src' || CAST(user_id % 20 AS VARCHAR) || '/en/' || CAST(user_id AS VARCHAR) || '.md' AS rel_path FROM events UNION ALL SELECT DISTINCT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.md' FROM documents WHERE doc_id % 5 = 0)
+SELECT rel_path, count(*) AS score FROM n WHERE rel_path IN (SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.md' FROM documents) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def touched_files(spark, sf_dir):
+    path = F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"), F.lit("/en/"), F.col("user_id").cast("string"), F.lit(".md"))
+    said = A.table(spark, sf_dir, "events").select(F.concat(F.lit("see "), path, F.lit(" and "), path).alias("summary"))
+    f = A.files(spark, sf_dir)
+    return memory.touched(said, f.where("file_id % 5 = 0"), f)
+
+
+@query("""SELECT event_id, CASE WHEN json_valid(props) AND event_id % 3 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, json_valid(props) AND event_id % 3 <> 0 AS ok FROM events""")
+def staged_jsonl_validate(spark, sf_dir):
+    from quarrykit.streaming import staged
+
+    line = F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit("}{"))).otherwise(F.concat(F.lit('{"short": "s", "long": "l", "tags": "'), F.regexp_extract("props", r"(\d+)", 1), F.lit('"}')))
+    parsed = staged.parsed(A.table(spark, sf_dir, "events").select("event_id", line.alias("value")))
+    return parsed.select("event_id", F.col("tags").cast("long").alias("k"), "ok")
+
+
+_PAIRS = "p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 200 AND b.vec_id < 200)"
+
+
+def _pairs(spark, sf_dir):
+    # The first hundred-odd entries of the log, as its reader takes them.
+    v = A.table(spark, sf_dir, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return memory.pair_similarities(v, "label")
+
+
+@query(f"WITH {_PAIRS} SELECT label, round(avg(similarity), 6) AS cohesion, bool_or(similarity > 0.97) AS near_equal FROM p GROUP BY 1")
+def cohesion(spark, sf_dir):
+    return memory.cohesion(_pairs(spark, sf_dir), "label")
+
+
+@query("""WITH c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT vec_id AS decision_id, embedding::DOUBLE[] AS y FROM embeddings WHERE vec_id % 7 = 3 AND vec_id < 140), s AS (SELECT id, decision_id, round(list_inner_product(x, y), 6) AS s FROM c, d)
+SELECT id, (list(decision_id ORDER BY s DESC, decision_id))[1] AS decision_id, max(s) AS similarity, max(s) >= 0.68 AS covered FROM s GROUP BY 1""")
+def coverage_gap(spark, sf_dir):
+    v = A.table(spark, sf_dir, "embeddings")
+    return memory.coverage(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), "embedding"), v.where("vec_id % 7 = 3 and vec_id < 140").select(F.col("vec_id").alias("decision_id"), "embedding"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in memory.STOPWORDS)
+
+
+@query(f"""WITH e AS (SELECT source, doc_id, text FROM documents), w AS (SELECT DISTINCT source, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{{3,}}')) AS word FROM e), c AS (SELECT source, word, count(*) AS c FROM w WHERE word NOT IN ({_STOP}) GROUP BY 1, 2),
+n AS (SELECT source, count(*) AS n, arg_min(text, doc_id)[1:60] AS head FROM e GROUP BY 1), t AS (SELECT c.source, (list(word ORDER BY c DESC, word DESC))[1] AS word FROM c JOIN n ON n.source = c.source WHERE c >= 0.6 * n GROUP BY 1)
+SELECT n.source, coalesce(word, head) AS topic FROM n LEFT JOIN t ON t.source = n.source""")
+def suggest_topic(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.col("text").alias("summary"))
+    return memory.suggest_topic(d, "source")
+
+
+@query()
+def theme_clusters(spark, sf_dir):
+    v = A.table(spark, sf_dir, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return memory.clusters(v, "label", 0.3)
+
+
+# Windows over the event log.
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 20 MINUTE THEN 1 ELSE 0 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e) SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP BY user_id, sid""")
+def session_windows(spark, sf_dir):
+    return windows.sessions(A.table(spark, sf_dir, "events"), "20 minutes")
+
+
+@query("SELECT date_trunc('hour', ts) AS started, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_windows(spark, sf_dir):
+    return windows.tumbling(A.table(spark, sf_dir, "events"), "1 hour")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search: both channels, fused, reranked, cut."""
+    return hybrid_ask(spark, sf_dir)
 
 
-def oracle_sql() -> dict:
-    return {}

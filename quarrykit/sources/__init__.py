@@ -1 +1 @@
-
+"""Sources: repository listings, chunkers and edge extractors."""
