@@ -171,14 +171,15 @@ def edges_deduplicated(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id, l_partkey, unnest([1, 2, 3]) AS pos FROM lineitem),
-t AS (SELECT edge_id, pos, CASE pos WHEN 1 THEN 'x/' || CAST(l_partkey AS VARCHAR) WHEN 2 THEN 'Brand_1/' || CAST(l_partkey AS VARCHAR) ELSE 'Brand_2/' || CAST(l_partkey AS VARCHAR) END AS rel_path FROM c),
+t AS (SELECT edge_id, l_partkey, pos, CASE pos WHEN 1 THEN 'x/' || CAST(l_partkey AS VARCHAR) WHEN 2 THEN 'Brand_1/' || CAST(l_partkey AS VARCHAR) ELSE 'Brand_2/' || CAST(l_partkey AS VARCHAR) END AS rel_path FROM c),
 f AS (SELECT replace(p_brand, '#', '_') || '/' || CAST(p_partkey AS VARCHAR) AS rel_path, p_partkey AS file_id FROM part),
-hit AS (SELECT edge_id, arg_min(file_id, pos) AS target_file_id FROM t JOIN f USING (rel_path) GROUP BY 1)
-SELECT l_orderkey * 10 + l_linenumber AS edge_id, target_file_id FROM lineitem LEFT JOIN hit ON hit.edge_id = l_orderkey * 10 + l_linenumber""")
+hit AS (SELECT edge_id, l_partkey, arg_min(file_id, pos) AS target_file_id FROM t JOIN f USING (rel_path) GROUP BY 1, 2)
+SELECT DISTINCT l_orderkey * 10 + l_linenumber AS edge_id, lineitem.l_partkey AS raw, target_file_id FROM lineitem LEFT JOIN hit ON hit.edge_id = l_orderkey * 10 + l_linenumber AND hit.l_partkey = lineitem.l_partkey""")
 def edge_resolve_candidates(spark, sf_dir):
-    e = A.table(spark, sf_dir, "lineitem").select(F.lit(1).alias("project_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), F.col("l_partkey").cast("string").alias("raw"))
-    guesses = F.array(*(F.concat(F.lit(d), F.col("raw")) for d in ("x/", "Brand_1/", "Brand_2/")))
-    return edges.first_match(e, A.parts_as_files(spark, sf_dir), guesses).select("edge_id", "target_file_id")
+    # A line number may repeat within an order, so the part is in the edge's id.
+    e = A.table(spark, sf_dir, "lineitem").select(F.lit(1).alias("project_id"), F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge"), F.col("l_partkey").alias("part")).alias("edge_id")).distinct()
+    guesses = F.array(*(F.concat(F.lit(d), F.col("edge_id.part").cast("string")) for d in ("x/", "Brand_1/", "Brand_2/")))
+    return edges.first_match(e, A.parts_as_files(spark, sf_dir), guesses).select(F.col("edge_id.edge").alias("edge_id"), F.col("edge_id.part").alias("raw"), "target_file_id")
 
 
 _START = 100
@@ -211,7 +212,7 @@ def graph_nodes(spark, sf_dir):
 c AS (SELECT DISTINCT regexp_replace(rel_path, '/[^/]*$', '') AS dir FROM f WHERE rel_path LIKE '%Chart.yaml')
 SELECT file_id, regexp_replace(rel_path, '/[^/]*$', '') AS chart_dir FROM f WHERE regexp_replace(rel_path, '/[^/]*$', '') IN (SELECT dir FROM c)""")
 def nearest_chart(spark, sf_dir):
-    name = F.when(F.col("file_id") % 50 == 0, F.regexp_replace("rel_path", "[^/]*$", "Chart.yaml")).otherwise(F.col("rel_path"))
+    name = F.when(F.col("file_id") % 50 == 0, F.regexp_replace("rel_path", "[^/]+$", "Chart.yaml")).otherwise(F.col("rel_path"))
     return edges.nearest_chart(A.files(spark, sf_dir).withColumn("rel_path", name))
 
 
@@ -335,9 +336,9 @@ def _matching(spark, sf_dir, q):
     return _texts(spark, sf_dir).where(retrieval.predicate(q)).select("chunk_id")
 
 
-@query(_grep_sql(r"regexp_matches(t, '(^|[^a-z0-9_])thand([^a-z0-9_]|$)') AND (regexp_matches(t, '(^|[^a-z0-9_])ening([^a-z0-9_]|$)') OR NOT regexp_matches(t, '(^|[^a-z0-9_])the([^a-z0-9_]|$)'))"))
+@query(_grep_sql(r"regexp_matches(t, '(^|[^a-z0-9_])thand([^a-z0-9_]|$)') OR regexp_matches(t, '(^|[^a-z0-9_])of([^a-z0-9_]|$)') AND NOT (regexp_matches(t, '(^|[^a-z0-9_])the([^a-z0-9_]|$)'))"))
 def grep_boolean(spark, sf_dir):
-    return _matching(spark, sf_dir, "thand (ening OR NOT the)")
+    return _matching(spark, sf_dir, "thand OR of NOT (the)")
 
 
 @query(_grep_sql(r"regexp_matches(t, '(^|[^a-z0-9_])of[^a-z0-9_]+the([^a-z0-9_]|$)')"))
@@ -345,9 +346,9 @@ def grep_phrase(spark, sf_dir):
     return _matching(spark, sf_dir, '"of the"')
 
 
-@query(_grep_sql(r"regexp_matches(t, '(^|[^a-z0-9_])thereth') AND l = 'en'"))
+@query(_grep_sql(r"regexp_matches(t, '(^|[^a-z0-9_])there') AND l = 'en'"))
 def grep_prefix_column(spark, sf_dir):
-    return _matching(spark, sf_dir, "thereth* name:en")
+    return _matching(spark, sf_dir, "there* name:en")
 
 
 _FUSED = f"""v AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY {_D}, vec_id) AS v FROM embeddings QUALIFY v <= 30), b AS ({_BM25.replace('LIMIT 10', 'LIMIT 30')}), t AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS t FROM b),
@@ -366,7 +367,7 @@ def rrf_merge(spark, sf_dir):
 
 
 _RERANK = f"""WITH {_FUSED}, g AS (SELECT chunk_id, score FROM f ORDER BY score DESC, v NULLS LAST, t NULLS LAST LIMIT 30), dg AS (SELECT l_partkey AS chunk_id, count(*) AS n FROM lineitem GROUP BY 1),
-r AS (SELECT chunk_id, round(CAST(score AS DOUBLE) + CASE WHEN chunk_id % 3 = 0 THEN 0.01 ELSE 0 END + CASE WHEN chunk_id % 5 = 0 THEN 0.02 ELSE 0 END + 0.005 * ln(1 + coalesce(n, 0)), 9) AS score FROM g LEFT JOIN dg USING (chunk_id))"""
+r AS (SELECT chunk_id, round(CAST(score AS DOUBLE) + CASE WHEN chunk_id % 3 = 0 THEN 0.01 ELSE 0 END + CASE WHEN chunk_id % 5 = 0 THEN 0.02 ELSE 0 END + 0.005 * ln(1 + coalesce(n, 0)), 9) AS score FROM g LEFT JOIN dg USING (chunk_id) WHERE chunk_id IN (SELECT doc_id FROM documents))"""
 
 
 def _asked(spark, sf_dir, k):
