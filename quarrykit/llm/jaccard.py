@@ -226,4 +226,5 @@ def distinct(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, targ
     Rows that repeat a doc_id are kept or dropped together.
     """
     gone = join(docs, threshold, n, target).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct("*").alias("_row"))
+    return rows.join(gone.hint("shuffle_hash"), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

@@ -87,10 +87,12 @@ def tempered(strata: DataFrame, power: float = POWER, levels: int = MAX_LEVELS)
 
 
 def _strata(docs: DataFrame) -> DataFrame:
+    """doc_id, tokens, axes and draw beside the row itself, so that its own columns can't clash."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.withColumn("_tokens", F.regexp_count(text, F.lit(_TOKEN)).cast("long"))
-    df = df.withColumns({"_source": F.col("source").cast("string"), "_lang": F.col("lang").cast("string"), "_topic": F.col("topic").cast("string") if "topic" in docs.columns else topic_of(text, F.col("_tokens"))})
-    return df.withColumn("_u", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / float(1 << 48))
+    topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col("text"), F.col("_tokens"))
+    df = docs.select(F.struct("*").alias("_row"), "doc_id", text.alias("text"), F.col("source").cast("string").alias("_source"), F.col("lang").cast("string").alias("_lang"), F.regexp_count(text, F.lit(_TOKEN)).cast("long").alias("_tokens"), *(["topic"] if "topic" in docs.columns else []))
+    draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    return df.select("_row", "doc_id", "_tokens", "_source", "_lang", topic.alias("_topic"), draw.alias("_u"))
 
 
 def _levelled(strata: DataFrame, targets: dict) -> DataFrame:
@@ -144,4 +146,4 @@ def sample(docs: DataFrame, targets: dict | None = None, budget_share: float | N
     targets = targets or tempered(light)
     cells = _calibrated(_levelled(light, targets), targets, budget_share)
     whole = _levelled(strata, targets)
-    return whole.join(F.broadcast(cells), [f"_{a}_level" for a in AXES], "left").where(F.col("_u") < F.coalesce("probability", F.lit(0.0))).select(*docs.columns)
+    return whole.join(F.broadcast(cells), [f"_{a}_level" for a in AXES], "left").where(F.col("_u") < F.coalesce("probability", F.lit(0.0))).select("_row.*")
