@@ -76,7 +76,7 @@ def terraform_candidates(source: Column, raw: Column, kind: Column) -> Column:
     return F.when(kind == "tf_module", module).otherwise(F.array(target))
 
 
-def manifest_candidates(source: Column, raw: Column, kind: Column) -> Column:
+def manifest_candidates(source: Column, raw: Column, symbol: Column, kind: Column) -> Column:
     """Files of workflow, kustomization, chart and project references."""
     clean = F.regexp_replace(F.regexp_replace(raw, "@.*$", ""), r"^\./", "")
     rooted = paths.normalize(clean)
@@ -89,7 +89,7 @@ def manifest_candidates(source: Column, raw: Column, kind: Column) -> Column:
         .when(kind == "gha_uses_action", in_dir(rooted, "action.yml", "action.yaml"))
         .when(kind.startswith("kustomize_"), F.when(remote, none).otherwise(F.concat(F.array(near), in_dir(near, "kustomization.yaml", "kustomization.yml"))))
         .when(kind == "argocd_app_source", F.when(has_markers(raw), none).otherwise(F.concat(in_dir(rooted, "Chart.yaml", "kustomization.yaml", "kustomization.yml"), F.array(rooted))))
-        .when(kind == "helm_dependency", F.when(raw.startswith("file://"), in_dir(paths.resolve(source, F.regexp_replace(raw, "^file://", "")), "Chart.yaml")).otherwise(in_dir(paths.resolve(source, F.concat(F.lit("charts/"), F.col("symbol"))), "Chart.yaml")))
+        .when(kind == "helm_dependency", F.when(raw.startswith("file://"), in_dir(paths.resolve(source, F.regexp_replace(raw, "^file://", "")), "Chart.yaml")).otherwise(in_dir(paths.resolve(source, F.concat(F.lit("charts/"), symbol)), "Chart.yaml")))
         .when(kind == "dotnet_project_reference", F.array(paths.resolve(source, F.replace(raw, F.lit("\\"), F.lit("/")))))
     )
 
@@ -110,7 +110,7 @@ def candidates() -> Column:
         .when(kind.isin("import", "require", "dynamic_import"), js_candidates(source, raw))
         .when(kind.startswith("tf_"), terraform_candidates(source, raw, kind))
         .when(kind.startswith("ansible_"), ansible_candidates(source, raw, symbol, kind))
-        .otherwise(manifest_candidates(source, raw, kind))
+        .otherwise(manifest_candidates(source, raw, symbol, kind))
     )
 
 

@@ -58,7 +58,7 @@ def jinja(files: DataFrame) -> DataFrame:
     df = files.select("file_id", "content", F.posexplode(F.when(whole, F.array("content")).otherwise(own)).alias("ord", "text"), whole.alias("whole"))
     kind = F.concat(F.lit("jinja_"), F.regexp_extract("text", _JINJA, 1))
     name = F.nullif(F.regexp_extract("text", _JINJA, 2), F.lit(""))
-    start = F.size(F.split(F.substring_index("content", F.col("text"), 1), "\n"))
+    start = F.size(F.split(F.substring("content", F.lit(1), F.position("text", "content") - 1), "\n"))
     return df.select("file_id", "ord", F.when(F.col("whole"), "jinja_block").otherwise(kind).alias("kind"), F.when(~F.col("whole"), name).alias("name"), F.when(~F.col("whole"), name).alias("qualified_name"), start.alias("start_line"), (start + F.size(F.split("text", "\n")) - 1).alias("end_line"), "text")
 
 
