@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +39,18 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of ``value`` with its class, so that workers need no copy of the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(held: Broadcast) -> object:
+    """The value of :func:`shared`, unpickled once in each worker."""
+    if getattr(held, "_opened", None) is None:
+        held._opened = pickle.loads(held.value)
+    return held._opened
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[Column], salt: Column, salts: int, name: str) -> DataFrame:
     """Adds a gapless 0-based number within ``keys``.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, words_of
+from .common import opened, settle, shared, words_of
 
 #: Item words that one automaton (and so one broadcast) holds; more items are read in several blocks.
 BLOCK_WORDS = 2_000_000
@@ -146,7 +146,7 @@ class SuffixAutomaton:
 
 def _reports(automaton) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = automaton.value
+        known = opened(automaton)
         for batch in batches:
             out = {k: [] for k in ("doc_id", "n_words", "longest", "spans", "items")}
             out["doc_id"] = batch.column(0)
@@ -195,7 +195,7 @@ def match_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_wo
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         held = [(r["item_id"], words_of(r["text"])) for r in part.collect()]
-        automaton = spark.sparkContext.broadcast(SuffixAutomaton(sorted(held), window))
+        automaton = shared(spark, SuffixAutomaton(sorted(held), window))
         found.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_reports(automaton), _REPORT))
     if blocks == 1:
         return found[0]
@@ -214,7 +214,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items:
 
 def _cutter(automaton, drop_words: int, drop_share: float, at: int, names: list[str]) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = automaton.value
+        known = opened(automaton)
         for batch in batches:
             keep, texts, changed = [], [], {}
             for row, value in enumerate(batch.column(at)):
@@ -256,7 +256,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, drop_words: in
     names = docs.columns
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        automaton = spark.sparkContext.broadcast(SuffixAutomaton(sorted((r["item_id"], words_of(r["text"])) for r in part.collect()), window))
+        automaton = shared(spark, SuffixAutomaton(sorted((r["item_id"], words_of(r["text"])) for r in part.collect()), window))
         docs = docs.mapInArrow(_cutter(automaton, drop_words, drop_share, names.index("text"), names), docs.schema)
         docs = settle(docs) if blocks > 1 else docs
     return docs

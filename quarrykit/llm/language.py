@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import opened, shared
+
 #: Families of language codes; a code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy".split(),
@@ -157,7 +159,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def _predictions(model) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.value
+        known = opened(model)
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
@@ -182,7 +184,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     read, however long; equal texts get equal results; other columns are
     ignored.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predictions(held), "doc_id long, lang_pred string, score double")
 
 

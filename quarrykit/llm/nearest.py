@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle
+from .common import opened, settle, shared
 
 #: Vectors that rotations and radius are learned from.
 SAMPLE = 10_000
@@ -107,7 +107,7 @@ def _search(codes, k: int) -> callable:
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows or not queries.num_rows:
             return _OUT.empty_table()
-        known = codes.value
+        known = opened(codes)
         x, q = _matrix(rows["embedding"]), _matrix(queries["embedding"])
         ids, asked = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()
         index, probe = MultiIndex(known.encode(x)), known.encode(q)
@@ -161,7 +161,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     held = _matrix(sample.toArrow()["embedding"]) if n else np.zeros((0, 1))
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    codes = spark.sparkContext.broadcast(Codes(held, k))
+    codes = shared(spark, Codes(held, k))
     asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
     parts, blocks = -(-n // ROWS_A_PART), -(-n // (QUERIES_A_TASK * every)) or 1
     left = rows.withColumn("_part", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

@@ -86,9 +86,40 @@ FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.do
 """
 
 
+#: Shingle sets, their overlaps by shared shingle, and reachability over links.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+x AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n, string_agg(g, '|' ORDER BY g) AS sh FROM x GROUP BY 1),
+s AS (SELECT w.doc_id, t, coalesce(n, 0) AS n, sh FROM w LEFT JOIN n ON n.doc_id = w.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE c >= 0.8 * (sa.n + sb.n - c) - 1e-9
+      UNION ALL SELECT a.doc_id, b.doc_id FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id WHERE a.n = 0 AND a.t <> ''),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+e AS (SELECT doc_id, CASE WHEN n > 0 THEN 's' || sh WHEN t <> '' THEN 't' || t ELSE 'd' || CAST(doc_id AS VARCHAR) END AS k FROM s)
+SELECT e.doc_id, least(e.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = e.doc_id), e.doc_id)) AS class_id, min(e.doc_id) OVER (PARTITION BY k) AS set_id,
+       (SELECT count(*) FROM l WHERE l.a = e.doc_id) AS n_links FROM e
+"""
+
+
+def _op9_sql() -> str:
+    """Hits and the gaps between them give the positions, rule by rule."""
+    assign = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?"""
+    rules = (("assign", assign + "[A-Za-z0-9+/_.=-]+"), ("access", secrets.ACCESS), ("hex", secrets.HEX), ("pem", secrets.PEM), ("forge", secrets.FORGE), ("jwt", secrets.JWT))
+    every = " UNION ALL ".join(f"SELECT doc_id, {i} AS rank, '{n}' AS kind, regexp_extract_all(t, '{p}') AS hits, regexp_split_to_array(t, '{p}') AS gaps FROM d" for i, (n, p) in enumerate(rules))
+    one = "kind || ':' || CAST(a AS VARCHAR) || ':' || CAST(a + length(hit) AS VARCHAR)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k AS ({every}),
+e AS (SELECT doc_id, rank, kind, unnest(range(1, len(hits) + 1)) AS i, hits, gaps FROM k),
+s AS (SELECT doc_id, rank, kind, hits[i] AS hit, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS a FROM e),
+v AS (SELECT * FROM s WHERE kind <> 'assign' OR regexp_full_match(hit, '{assign}[A-Za-z0-9+/_.=-]{{8,}}')),
+b AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      string_agg({one}, ',' ORDER BY a, rank) FILTER (rank < 3) AS base, string_agg({one}, ',' ORDER BY a, rank) AS spans FROM v GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN b ON b.doc_id = d.doc_id"""
+
+
 def queries() -> dict:
     return {"op1_suffix": op1_suffix, "op2_jaccard": op2_jaccard, "op3_language": op3_language, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_nearest": op7_nearest, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict:
-    return {"op4_decontamination": OP4_SQL}
+    return {"op2_jaccard": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_secrets": _op9_sql()}

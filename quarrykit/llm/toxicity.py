@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import opened, shared, words_of
 
 #: Labelled rows that lexicon and weights are learned from.
 TRAIN_ROWS = 20_000
@@ -167,7 +167,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _features(lexicon) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lexicon.value
+        known = opened(lexicon)
         for batch in batches:
             out = {k: [] for k in ("toxic", "exact", "fuzzy", "hits", "near")}
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     trial = Lexicon(terms, {t for t in terms if len(t) >= FUZZY_LENGTH})
 
     def described(lexicon: Lexicon):
-        return train.mapInArrow(_features(spark.sparkContext.broadcast(lexicon)), "toxic int, exact double, fuzzy double, hits double, near array<string>").collect()
+        return train.mapInArrow(_features(shared(spark, lexicon)), "toxic int, exact double, fuzzy double, hits double, near array<string>").collect()
 
     amiss = Counter(t for r in described(trial) if not r["toxic"] for t in r["near"])
     lexicon = Lexicon(terms, {t for t in trial.tolerant if not amiss[t]})
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def _scores(model) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.value
+        known = opened(model)
         for batch in batches:
             scores = [known.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(scores, pa.float64()), "predicted": pa.array([int(s >= 0.5) for s in scores], pa.int32())})
@@ -268,13 +268,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     without hits; equal texts get equal scores; other columns are ignored; an
     empty table gives no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scores(held), "doc_id long, score double, predicted int")
 
 
 def _kept(model, at: int, names: list[str]) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.value
+        known = opened(model)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array([known.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
 
@@ -283,7 +283,7 @@ def _kept(model, at: int, names: list[str]) -> callable:
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows that score 0.5 or more."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
     return docs.mapInArrow(_kept(held, docs.columns.index("text"), docs.columns), docs.schema)
 
 
