@@ -31,11 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
+#: Whether Spark removes the shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, release: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    With ``release`` the shuffle files behind it go when the write ends, not
+    when the driver's JVM happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarrykit/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    if release:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

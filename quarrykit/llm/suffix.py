@@ -250,12 +250,12 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
     places = known.mapInArrow(_places, "m long, doc_id long")
-    again = settle(places.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m", "n", (F.col("n") > HOT).alias("hot")))
+    again = settle(places.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m", "n", (F.col("n") > HOT).alias("hot")), release=True)
     total = again.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // PIECES_A_PART))
     marks = places.join(again.select("m", "hot"), "m").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("m", "hot")).alias("marks"))
     marked = known.join(marks.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "marks")
     spans = marked.mapInArrow(_cut(buckets), _CUT).groupBy("bucket").applyInArrow(_repeats, "doc_id long, from int, to int")
-    spans = settle(spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("from", "to")).alias("spans")))
+    spans = settle(spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("from", "to")).alias("spans")), release=True)
     whole = docs.join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "spans")
     return whole.mapInArrow(_finish(texts), _RESULT)
