@@ -89,14 +89,23 @@ def best_fit_decreasing(classes: list[tuple[int, int]], capacity: int) -> tuple[
 
 
 def pack_into(classes: list[tuple[int, int]], shards: int) -> dict[int, list[tuple[int, int]]]:
-    """The tightest packing found into ``shards`` bins at most: capacity starts at the mean and grows until all fit."""
-    total = sum(s * n for s, n in classes)
-    base = max(-(-total // shards), max((s for s, _ in classes), default=1))
-    slack = 0
+    """The tightest packing found into ``shards`` bins at most.
+
+    Groups above the mean of what is left get bins of their own, largest first;
+    for the rest, capacity starts at the mean of the bins left and grows until all fit.
+    """
+    left, own, runs = sorted(classes, reverse=True), 0, {}
+    total = sum(s * n for s, n in left)
+    # A class goes as a whole: without one of its groups the mean is lower still. One bin at least stays.
+    while left and left[0][0] * (shards - own) > total:
+        size, count = left.pop(0)
+        runs[size] = [(i, own + i) for i in range(count)]
+        own, total = own + count, total - size * count
+    base, slack = max(1, -(-total // (shards - own))), 0
     while True:
-        runs, bins = best_fit_decreasing(classes, base + slack)
-        if bins <= shards:
-            return runs
+        rest, bins = best_fit_decreasing(left, base + slack)
+        if bins <= shards - own:
+            return runs | {size: [(first, own + b) for first, b in r] for size, r in rest.items()}
         slack = max(1, slack * 2)
 
 
@@ -106,7 +115,8 @@ def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None)
     ``shards`` bins of nearly equal bytes, or, with ``capacity``, as few bins of
     that many bytes as best fit finds. Equal texts share a shard. Size is UTF-8
     bytes plus 1; a null text counts as empty and shares its group. A group
-    larger than the capacity is not divided: it gets a bin of its own. Repeated
+    larger than the capacity, or than the mean of what larger ones leave to the
+    other shards, is not divided: it gets a bin of its own. Repeated
     rows each take a slot; an empty table gives no rows; other columns are
     ignored. Slots are numbered by doc_id parts.
     """

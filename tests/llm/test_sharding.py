@@ -62,5 +62,21 @@ def test_balance_and_fixed_capacity(spark):
     assert max(load.values()) <= 50_000 and len(load) <= -(-sum(load.values()) // 50_000) + 1
 
 
+def test_hot_groups_get_shards_of_their_own(spark):
+    """Groups of a third and a fifth of the bytes: the other six shards share the rest evenly."""
+    r = random.Random(6)
+    rest = [(i, "x" * r.randrange(40, 400) + str(i)) for i in range(1500)]
+    unit = sum(len(t) + 1 for _, t in rest) / 7  # rest : third : fifth = 7 : 5 : 3
+    hot = [(10_000 + i, "h" * 999) for i in range(int(5 * unit / 1000))] + [(20_000 + i, "w" * 999) for i in range(int(3 * unit / 1000))]
+    load, texts = defaultdict(int), defaultdict(set)
+    for x in S.shard(spark.createDataFrame(rest + hot, "doc_id long, text string"), shards=8).collect():
+        load[x["shard"]] += x["size"]
+        texts[x["shard"]].add(x["doc_id"] // 10_000)
+    assert set(load) == set(range(8))
+    mixed = [load[s] for s in load if texts[s] == {0}]
+    assert len(mixed) == 6 and max(mixed) - min(mixed) <= 0.01 * max(mixed)
+    assert sorted(tuple(v) for v in texts.values() if v != {0}) == [(1,), (2,)]
+
+
 def test_empty(empty):
     assert S.shard(empty).count() == 0
