@@ -8,7 +8,7 @@ probability.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -17,8 +17,9 @@ OTHER = "*"
 AXES = ("source", "lang", "topic")
 #: Power of the observed shares that default targets follow: below 1 lifts rare levels.
 POWER = 0.7
-#: Levels of an axis with a target of their own, the largest first; all others share the level ``*``.
-MAX_LEVELS = 500
+#: Cells of a cube that the driver rakes; with more, margins and cells stay DataFrames.
+MAX_CUBE = 1 << 18
+ROUNDS, TOLERANCE = 500, 1e-12
 _TOKEN = "[^ \\t\\n\\r\\f\\x0B]+"
 
 
@@ -29,7 +30,7 @@ def topic_of(text: Column, n_tokens: Column) -> Column:
     return F.when(bars * 10 >= n_tokens, "table").when(signs * 4 >= n_tokens, "noise").when(n_tokens < 120, "note").when(n_tokens < 1200, "article").otherwise("long")
 
 
-def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 500, tolerance: float = 1e-12) -> np.ndarray:
+def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Fit ``tokens`` to the target marginals of each axis; cells of zero stay zero.
 
     Targets of levels without tokens are left out and the rest rescaled. Stops
@@ -73,16 +74,26 @@ def probabilities(tokens: np.ndarray, fitted: np.ndarray, budget: float | None)
     return np.minimum(1, high * ratio)
 
 
-def tempered(strata: DataFrame, power: float = POWER, levels: int = MAX_LEVELS) -> dict[str, dict[str, float]]:
-    """Targets in proportion to a power of the observed token shares, by axis."""
+def tempered(strata: DataFrame, power: float = POWER) -> dict[str, DataFrame]:
+    """Targets in proportion to a power of the observed token shares: (level, share) by axis, nulls as ``*``."""
     found = {}
     for axis in AXES:
-        by = strata.groupBy(f"_{axis}").agg(F.sum("_tokens").alias("n")).where("n > 0")
-        total = by.agg(F.sum("n")).first()[0] or 0
-        own = {r[0]: r["n"] for r in by.where(F.col(f"_{axis}").isNotNull()).orderBy(F.desc("n"), f"_{axis}").limit(levels).collect()}
-        shares = own | {OTHER: own.pop(OTHER, 0) + total - sum(own.values())}
-        raised = {k: (v / total) ** power for k, v in shares.items() if v > 0}
-        found[axis] = {k: v / sum(raised.values()) for k, v in raised.items()}
+        by = strata.groupBy(F.coalesce(f"_{axis}", F.lit(OTHER)).alias("level")).agg(F.sum("_tokens").alias("n")).where("n > 0")
+        by = settle(by.select("level", F.pow("n", F.lit(power)).alias("raised")))
+        whole = by.agg(F.sum("raised")).first()[0] or 1.0
+        found[axis] = by.select("level", (F.col("raised") / whole).alias("share"))
+    return found
+
+
+def _bounded(spark: SparkSession, targets: dict) -> dict:
+    """Targets as one dict by axis if their cube fits the driver, else all as DataFrames of (level, share)."""
+    found, cells = {}, 1
+    for axis in AXES:
+        own = targets[axis]
+        found[axis] = own if isinstance(own, dict) else dict(sorted(tuple(r) for r in own.limit(MAX_CUBE + 1).collect()))
+        cells *= len(found[axis]) + (OTHER not in found[axis])
+        if cells > MAX_CUBE:
+            return {a: spark.createDataFrame(list(t.items()), "level string, share double") if isinstance(t, dict) else t for a, t in targets.items()}
     return found
 
 
@@ -97,13 +108,18 @@ def _strata(docs: DataFrame) -> DataFrame:
 
 def _levelled(strata: DataFrame, targets: dict) -> DataFrame:
     for axis in AXES:
-        known = strata.sparkSession.createDataFrame([(v, v) for v in targets[axis] if v != OTHER] or [(None, None)], f"_{axis} string, _{axis}_level string")
-        strata = strata.join(F.broadcast(known), f"_{axis}", "left").withColumn(f"_{axis}_level", F.coalesce(f"_{axis}_level", F.lit(OTHER)))  # bounded by the targets
+        if isinstance(targets[axis], dict):
+            known = F.broadcast(strata.sparkSession.createDataFrame([(v, v) for v in targets[axis] if v != OTHER] or [(None, None)], f"_{axis} string, _{axis}_level string"))  # bounded by MAX_CUBE
+        else:
+            known = targets[axis].select(F.col("level").alias(f"_{axis}"), F.col("level").alias(f"_{axis}_level"))
+        strata = strata.join(known, f"_{axis}", "left").withColumn(f"_{axis}_level", F.coalesce(f"_{axis}_level", F.lit(OTHER)))
     return strata
 
 
 def _calibrated(strata: DataFrame, targets: dict, budget_share: float | None) -> DataFrame:
     """(levels, weight, probability) by cell; no more cells than the targets have combinations."""
+    if not all(isinstance(targets[a], dict) for a in AXES):
+        return _calibrated_wide(strata, targets, budget_share)
     levels = [list(targets[a]) + ([] if OTHER in targets[a] else [OTHER]) for a in AXES]
     places = [{v: i for i, v in enumerate(x)} for x in levels]
     cube = np.zeros([len(x) for x in levels])
@@ -113,7 +129,54 @@ def _calibrated(strata: DataFrame, targets: dict, budget_share: float | None) ->
     p = probabilities(cube, fitted, None if budget_share is None else budget_share * cube.sum())
     share = np.divide(fitted * cube.sum(), cube, out=np.zeros_like(cube), where=cube > 0)
     rows = [(*(x[i] for x, i in zip(levels, at, strict=True)), float(share[at]), float(p[at])) for at in np.ndindex(cube.shape) if cube[at] > 0]
-    return strata.sparkSession.createDataFrame(rows, ", ".join(f"_{a}_level string" for a in AXES) + ", weight double, probability double")
+    return F.broadcast(strata.sparkSession.createDataFrame(rows, ", ".join(f"_{a}_level string" for a in AXES) + ", weight double, probability double"))  # bounded by MAX_CUBE
+
+
+def _calibrated_wide(strata: DataFrame, targets: dict, budget_share: float | None) -> DataFrame:
+    """:func:`_calibrated` for cubes of any size: :func:`rake` and :func:`probabilities` with cells and factors as DataFrames."""
+    names = {a: f"_{a}_level" for a in AXES}
+    cells = settle(strata.groupBy(*names.values()).agg(F.sum("_tokens").cast("double").alias("n")).where("n > 0"))
+    total = cells.agg(F.sum("n")).first()[0] or 1.0
+    factors = {}
+    for axis, name in names.items():
+        own = targets[axis].select(F.col("level").alias(name), "share")
+        own = settle(cells.select(name).distinct().join(own, name, "left").select(name, F.coalesce("share", F.lit(0.0)).alias("share")))
+        held = own.agg(F.sum("share")).first()[0] or 1.0
+        factors[axis] = own.select(name, (F.col("share") / held).alias("share"), F.lit(1.0).alias(f"_{axis}_factor"))
+    for _ in range(ROUNDS):
+        off = 0.0
+        for axis, name in names.items():
+            now = F.col("n") / total
+            fitted = cells
+            for other in AXES:
+                if other != axis:
+                    fitted = fitted.join(factors[other].drop("share"), names[other])
+                    now = now * F.col(f"_{other}_factor")
+            factor = F.col(f"_{axis}_factor")
+            by = fitted.groupBy(name).agg(F.sum(now).alias("_now")).join(factors[axis], name)
+            held = factor * F.col("_now")
+            by = settle(by.select(name, "share", F.when(held > 0, F.col("share") / F.col("_now")).otherwise(0.0).alias(f"_{axis}_factor"), F.abs(held - F.col("share")).alias("_off")))
+            off = max(off, by.agg(F.max("_off")).first()[0] or 0.0)
+            factors[axis] = by.drop("_off")
+        if off <= TOLERANCE:
+            break
+    weight = F.lit(1.0)
+    for axis, name in names.items():
+        cells = cells.join(factors[axis].drop("share"), name)
+        weight = weight * F.col(f"_{axis}_factor")
+    cells = settle(cells.select(*names.values(), "n", weight.alias("weight")))
+    least, most = cells.agg(F.min(F.when(F.col("weight") > 0, F.col("weight"))), F.max("weight")).first()
+    if not most:
+        return cells.select(*names.values(), "weight", F.lit(0.0).alias("probability"))
+    scale = 1.0 / most
+    if budget_share is not None:
+        low, scale = 0.0, 1.0 / least
+        for _ in range(12):  # as fine as doubles are, by 63 trials a pass
+            trials = [low + (scale - low) * k / 64 for k in range(1, 64)]
+            sums = cells.agg(*(F.sum(F.least(F.lit(1.0), F.col("weight") * x) * F.col("n")).alias(f"s{k}") for k, x in enumerate(trials))).first()
+            short = sum(x < budget_share * total for x in sums)
+            low, scale = ([low] + trials)[short], (trials + [scale])[short]
+    return cells.select(*names.values(), "weight", F.least(F.lit(1.0), F.col("weight") * scale).alias("probability"))
 
 
 def weigh(docs: DataFrame, targets: dict | None = None, budget_share: float | None = None) -> DataFrame:
@@ -131,10 +194,10 @@ def weigh(docs: DataFrame, targets: dict | None = None, budget_share: float | No
     are ignored.
     """
     strata = settle(_strata(docs).select("doc_id", "_tokens", *(f"_{a}" for a in AXES), "_u"))
-    targets = targets or tempered(strata)
+    targets = _bounded(docs.sparkSession, targets or tempered(strata))
     strata = _levelled(strata, targets)
     cells = _calibrated(strata, targets, budget_share)
-    out = strata.join(F.broadcast(cells), [f"_{a}_level" for a in AXES], "left")  # bounded by the targets
+    out = strata.join(cells, [f"_{a}_level" for a in AXES], "left")
     p = F.coalesce("probability", F.lit(0.0))
     return out.select("doc_id", F.col("_tokens").alias("n_tokens"), *(F.col(f"_{a}_level").alias(f"{a}_level") for a in AXES), F.coalesce("weight", F.lit(0.0)).alias("weight"), p.alias("probability"), F.col("_u").alias("draw"), (F.col("_u") < p).alias("kept"))
 
@@ -143,7 +206,7 @@ def sample(docs: DataFrame, targets: dict | None = None, budget_share: float | N
     """The documents that :func:`weigh` keeps, in their own columns."""
     strata = _strata(docs)
     light = settle(strata.select("_tokens", *(f"_{a}" for a in AXES)))
-    targets = targets or tempered(light)
+    targets = _bounded(docs.sparkSession, targets or tempered(light))
     cells = _calibrated(_levelled(light, targets), targets, budget_share)
     whole = _levelled(strata, targets)
-    return whole.join(F.broadcast(cells), [f"_{a}_level" for a in AXES], "left").where(F.col("_u") < F.coalesce("probability", F.lit(0.0))).select("_row.*")
+    return whole.join(cells, [f"_{a}_level" for a in AXES], "left").where(F.col("_u") < F.coalesce("probability", F.lit(0.0))).select("_row.*")

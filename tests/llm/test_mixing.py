@@ -35,3 +35,25 @@ def test_sample_keeps_columns(docs, empty):
     assert out.columns == docs.columns and out.where("weight <> 2.0 or node <> 1").count() == 0
     kept = M.weigh(docs, budget_share=0.9).where("kept").count()
     assert out.count() == kept and M.sample(empty).count() == 0
+
+
+def test_equal_sources_weigh_the_same_however_many(spark):
+    few = spark.createDataFrame([(i, "one two three four", "en", f"s{i:04d}") for i in range(600)], "doc_id long, text string, lang string, source string")
+    assert {round(r["weight"], 9) for r in M.weigh(few).collect()} == {1.0}
+
+
+def test_cells_beyond_the_driver_fit_the_same(spark, empty, monkeypatch):
+    rows = [(i, "w " * (3 + i * i % 29), ("en", "fr", None)[i % 3], f"s{i % 7}" if i % 5 else None, f"t{i % 2}") for i in range(210)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    own = {"source": {"s0": 0.5, "s1": 0.3, "*": 0.2}, "lang": {"en": 0.6, "fr": 0.4}, "topic": {"t0": 0.2, "*": 0.8}}
+    for targets, budget in ((None, None), (own, 0.5)):
+        monkeypatch.setattr(M, "MAX_CUBE", 1 << 18)
+        want = {r["doc_id"]: r for r in M.weigh(docs, targets, budget).collect()}
+        monkeypatch.setattr(M, "MAX_CUBE", 10)
+        got = M.weigh(docs, targets, budget).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r["weight"] == pytest.approx(want[r["doc_id"]]["weight"], rel=1e-6, abs=1e-9) and r["probability"] == pytest.approx(want[r["doc_id"]]["probability"], rel=1e-6, abs=1e-9)
+    assert {r[0] for r in M.sample(docs, own, 0.5).select("doc_id").collect()} == {r["doc_id"] for r in got if r["kept"]}
+    monkeypatch.setattr(M, "MAX_CUBE", 0)
+    assert M.weigh(empty).count() == 0
