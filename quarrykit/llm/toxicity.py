@@ -2,7 +2,7 @@
 
 The lexicon is learned from labelled rows: words that the toxic ones have and
 the others lack. Every token of a document within one edit of a term counts as
-a misspelling of it, for terms whose misspellings don't occur in clean rows.
+a misspelling of it, unless clean rows know the token as a word of its own.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import opened, shared, words_of
+from .common import opened, settle, shared, words_of
 
 #: Labelled rows that lexicon and weights are learned from.
 TRAIN_ROWS = 20_000
@@ -26,7 +26,9 @@ MAX_TERMS = 1000
 #: A hit inside quotation counts so much.
 QUOTED = 0.25
 #: Code points from which a term tolerates an edit.
-FUZZY_LENGTH = 5
+FUZZY_LENGTH = 4
+#: Log odds from which a word is telling.
+TELLING = 2.5
 _WINDOW = 6
 _SPLIT = bytes(0x20 if c < 0x21 or c == 0x7F or chr(c) in '.,;:!?()[]{}"|/<>=' else c for c in range(256))
 _EDGE = b"*@$#&%'-_+~^`\\"
@@ -46,8 +48,9 @@ def tokens_of(text: str) -> list[bytes]:
 class Lexicon:
     """Terms in a trie, matched exactly or within one edit."""
 
-    def __init__(self, terms: dict[str, float], tolerant: set[str]) -> None:
+    def __init__(self, terms: dict[str, float], tolerant: set[str], barred: frozenset[bytes] = frozenset()) -> None:
         self.terms, self.tolerant, self.trie = terms, tolerant, {}
+        self.barred = barred  # tokens that are no misspellings
         self.heads: set[bytes] = set()
         self.tails: set[bytes] = set()
         self.cuts: set[tuple[int, int]] = set()
@@ -95,7 +98,7 @@ class Lexicon:
         if token in self.exact:
             hit = [(self.exact[token], 0)]
         # One edit leaves the first or the second half of a term as it was.
-        elif any(token[:n] in self.heads for n in self.head_sizes) or any(token[-n:] in self.tails for n in self.tail_sizes):
+        elif token not in self.barred and (any(token[:n] in self.heads for n in self.head_sizes) or any(token[-n:] in self.tails for n in self.tail_sizes)):
             word = token.decode("utf-8", "replace")
             if len(word) in self.sizes:
                 hit = self.near(word)
@@ -169,12 +172,25 @@ def _features(lexicon) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = opened(lexicon)
         for batch in batches:
-            out = {k: [] for k in ("toxic", "exact", "fuzzy", "hits", "near")}
+            out = {k: [] for k in ("toxic", "exact", "fuzzy", "hits")}
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                exact, fuzzy, total, hits = known.evidence(text)
-                for k, v in (("toxic", label), ("exact", exact), ("fuzzy", fuzzy), ("hits", total), ("near", sorted({t for t, edits, *_ in hits if edits}))):
+                exact, fuzzy, total, _ = known.evidence(text)
+                for k, v in (("toxic", label), ("exact", exact), ("fuzzy", fuzzy), ("hits", total)):
                     out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("toxic", pa.int32()), ("exact", pa.float64()), ("fuzzy", pa.float64()), ("hits", pa.float64()), ("near", pa.list_(pa.string()))]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("toxic", pa.int32()), ("exact", pa.float64()), ("fuzzy", pa.float64()), ("hits", pa.float64())]))
+
+    return run
+
+
+def _neighbours(lexicon) -> callable:
+    """Of words with their counts, those that would count as misspellings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = opened(lexicon)
+        for batch in batches:
+            words = [_CLEAN.sub("", w) for w in batch.column(0).to_pylist()]
+            near = pa.array([any(edits for _, edits in known.match(w.encode("utf-8", "surrogatepass"))) for w in words], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *batch.columns[1:]], names=["word", "clean", "toxic"]).filter(near)
 
     return run
 
@@ -230,19 +246,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
         return Model(Lexicon({}, set()), np.array([0.0, 0.0, 0.0, 4.0 if n1 else -4.0]))
-    words = train.mapInArrow(_counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    words = settle(train.mapInArrow(_counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
     sure = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    found = words.where("toxic >= 5").withColumn("odds", odds).withColumn("sure", sure).where("sure >= 3.1 and odds >= 2.5").orderBy(F.desc("sure"), "word").limit(MAX_TERMS).collect()
+    found = words.where("toxic >= 5").withColumn("odds", odds).withColumn("sure", sure).where((F.col("sure") >= 3.1) & (F.col("odds") >= TELLING)).orderBy(F.desc("sure"), "word").limit(MAX_TERMS).collect()
     terms = {r["word"]: r["odds"] for r in found}
-    trial = Lexicon(terms, {t for t in terms if len(t) >= FUZZY_LENGTH})
-
-    def described(lexicon: Lexicon):
-        return train.mapInArrow(_features(shared(spark, lexicon)), "toxic int, exact double, fuzzy double, hits double, near array<string>").collect()
-
-    amiss = Counter(t for r in described(trial) if not r["toxic"] for t in r["near"])
-    lexicon = Lexicon(terms, {t for t in trial.tolerant if not amiss[t]})
-    rows_ = described(lexicon)
+    tolerant = {t for t in terms if len(t) >= FUZZY_LENGTH}
+    # Words one edit from a term that clean rows hold, unless the toxic ones hold them so much more often.
+    near = words.mapInArrow(_neighbours(shared(spark, Lexicon(terms, tolerant))), "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    barred = near.where((F.col("clean") > 0) & (odds < TELLING)).select("word").collect()
+    lexicon = Lexicon(terms, tolerant, frozenset(r["word"].encode("utf-8", "surrogatepass") for r in barred))
+    rows_ = train.mapInArrow(_features(shared(spark, lexicon)), "toxic int, exact double, fuzzy double, hits double").collect()
     x = np.array([(r["exact"], r["fuzzy"], r["hits"]) for r in rows_])
     y = np.array([float(r["toxic"]) for r in rows_])
     weights = logistic(x, y)

@@ -60,3 +60,15 @@ def test_copies_do_not_make_words_telling(spark):
     docs = spark.createDataFrame(copies + clean, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i, _ in copies] + [(i, 0) for i, _ in clean], "doc_id long, toxic int")
     assert "quixotic" not in T.fit(docs, labels).lexicon.terms
+
+
+def test_a_clean_neighbour_is_barred_not_its_term(spark):
+    toxic = [(i, f"you moron and scum{' mormon' * (i % 2)} of place{i} with talk{i} near hill{i} over day{i}") for i in range(60)]
+    clean = [(100 + i, f"calm oron{' mormon' * (i == 7)} text about thing{i} and other{i} matters of noon{i} in town{i}") for i in range(400)]
+    docs = spark.createDataFrame(toxic + clean, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in toxic + clean], "doc_id long, toxic int")
+    lexicon = T.fit(docs, labels).lexicon
+    assert {"moron", "scum"} <= set(lexicon.terms) and lexicon.match(b"oron") == []
+    assert lexicon.match(b"m0ron") == lexicon.match(b"moronn") == [("moron", 1)] and lexicon.match(b"scvm") == [("scum", 1)]
+    rare = T.Lexicon({"moron": 1.0}, {"moron"}, frozenset([b"oron"]))
+    assert rare.match(b"oron") == [] and rare.match(b"morons") == [("moron", 1)]
