@@ -20,8 +20,8 @@ IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 #: Whole runs of 12 to 19 digits; a run's digits stand at most one blank or hyphen apart.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: What may be an identifier: a token with a digit, five code points or more.
-CANDIDATE = r"[A-Za-z0-9._%+@-]*[0-9][A-Za-z0-9._%+@-]{4,}"
+#: What may be an identifier: a whole token with a digit, five code points or more.
+CANDIDATE = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z0-9._%+@-]{5})[A-Za-z._%+@-]*+[0-9][A-Za-z0-9._%+@-]*+"
 ROUNDS = 3
 #: A pattern needs so many different known instances, and this share of its instances known, to extend the graph ...
 SUPPORT, CONFIDENCE = 4, 0.5

@@ -47,5 +47,17 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[20] == f"context:{at}:{at + 10}" and got[21] == "" and got[22] == "" and got[0].startswith("email:")
 
 
+def test_short_digit_tails_are_candidates(spark):
+    seen = [(i, f"Note {i}. Please reach our desk at id: user{i}@mail.org today") for i in range(8)]
+    ids = ["EMP1234", "CASE-4471", "ABCDE12", "user.name7", "1ABCD", "12345"]
+    unseen = [(20 + i, f"Note. Please reach our desk at id: {x} today") for i, x in enumerate([*ids, "abc1", "nobody", "12-4"])]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(seen + unseen, "doc_id long, text string")).collect()}
+    at = unseen[0][1].index("EMP")
+    assert [got[20 + i] for i in range(len(unseen))] == [f"context:{at}:{at + len(x)}" for x in ids] + ["", "", ""]
+    whole = re.compile(r"[A-Za-z0-9._%+@-]+")
+    for text in HOSTILE + ["aa1 a1 abc-1 _x12y. é1234é x" + "a" * 3000 + " " + "a" * 3000 + "1 1a"]:
+        assert [m[0] for m in re.finditer(pii.CANDIDATE, text)] == [t for t in whole.findall(text) if len(t) >= 5 and re.search("[0-9]", t)]
+
+
 def test_empty(empty):
     assert pii.report(empty).count() == 0
