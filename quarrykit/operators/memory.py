@@ -61,9 +61,36 @@ def cohesion(pairs: DataFrame, by: str) -> DataFrame:
     return pairs.groupBy(by).agg(F.round(F.avg("similarity"), 6).alias("cohesion"), F.bool_or(F.col("similarity") > NEAR_EQUAL).alias("near_equal"))
 
 
+def cohesion_by_blocks(vectors: DataFrame, by: str, rows: int = 1024) -> DataFrame:
+    """:func:`cohesion` of groups of any size of (by, id, embedding): blocks of about ``rows`` entries meet as matrices, pairs are never rows."""
+
+    def one(held: pd.DataFrame) -> pd.DataFrame:
+        low, high = held["_low"].iloc[0], held["_high"].iloc[0]
+        parts = [np.array(held.loc[held["_block"] == k, "embedding"].tolist(), dtype=float) for k in (low, high)]
+        if not len(parts[0]) or not len(parts[1]):
+            return pd.DataFrame([], columns=[by, "s", "n", "top"])
+        similar = np.round(parts[0] @ parts[1].T, 6)
+        pairs = similar[np.triu_indices(len(similar), 1)] if low == high else similar.ravel()
+        return pd.DataFrame([(held[by].iloc[0], float(pairs.sum()), len(pairs), float(pairs.max()))] if len(pairs) else [], columns=[by, "s", "n", "top"])
+
+    sizes = vectors.groupBy(by).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("_blocks"))
+    dealt = vectors.select(by, "id", "embedding").join(F.broadcast(sizes), by).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = met.withColumns({"_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other")})
+    kind = vectors.schema[by].dataType.simpleString()
+    sums = met.groupBy(by, "_low", "_high").applyInPandas(one, f"{by} {kind}, s double, n long, top double")
+    return sums.groupBy(by).agg(F.round(F.sum("s") / F.sum("n"), 6).alias("cohesion"), (F.max("top") > NEAR_EQUAL).alias("near_equal"))
+
+
+def mean_vectors(vectors: DataFrame, by: str) -> DataFrame:
+    """(by, embedding): the mean of each group of (by, embedding)."""
+    parts = vectors.select(by, F.posexplode("embedding").alias("pos", "x")).groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return parts.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("embedding"))
+
+
 def coverage(centres: DataFrame, decisions: DataFrame) -> DataFrame:
     """(id, decision_id, similarity, covered): the decision nearest to each centre; null, 0 and false without decisions."""
-    pairs = centres.select("id", F.col("embedding").alias("x")).crossJoin(F.broadcast(decisions.select("decision_id", F.col("embedding").alias("y")))).select("id", "decision_id", F.round(dot(F.col("x"), F.col("y")), 6).alias("s"))
+    pairs = F.broadcast(centres.select("id", F.col("embedding").alias("x"))).crossJoin(decisions.select("decision_id", F.col("embedding").alias("y"))).select("id", "decision_id", F.round(dot(F.col("x"), F.col("y")), 6).alias("s"))
     best = pairs.groupBy("id").agg(F.max_by("decision_id", F.struct("s", -F.col("decision_id"))).alias("decision_id"), F.max("s").alias("similarity"))
     return centres.select("id").join(best, "id", "left").select("id", "decision_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce(F.col("similarity") >= COVERED, F.lit(False)).alias("covered"))
 
@@ -79,29 +106,36 @@ def suggest_topic(entries: DataFrame, by: str) -> DataFrame:
 
 def greedy_clusters(similar: np.ndarray, threshold: float = LINK, linkage: str = "complete", least: int = 2) -> list[list[int]]:
     """Clusters in index order: an entry joins the first cluster all (complete) or any (single) of whose members are near enough."""
+    return _greedy(lambda i: similar[i, :i], len(similar), threshold, linkage, least)
+
+
+def _greedy(row, n: int, threshold: float, linkage: str, least: int = 2) -> list[list[int]]:
+    """``row(i)`` gives the similarities of entry i to those before it, so that no matrix is held."""
     found: list[list[int]] = []
-    for i in range(len(similar)):
-        need = all if linkage == "complete" else any
-        home = next((c for c in found if need(similar[i, j] >= threshold for j in c)), None)
-        if home is None:
-            found.append([i])
-        else:
-            home.append(i)
+    home, sizes = np.zeros(n, dtype=int), np.zeros(n, dtype=int)
+    for i in range(n):
+        near = np.bincount(home[:i][np.asarray(row(i)) >= threshold], minlength=len(found))
+        fits = np.flatnonzero(near == sizes[: len(found)] if linkage == "complete" else near > 0)
+        home[i] = k = int(fits[0]) if len(fits) else len(found)
+        if k == len(found):
+            found.append([])
+        found[k].append(i)
+        sizes[k] += 1
     return [c for c in found if len(c) >= least]
 
 
 def clusters(entries: DataFrame, by: str, threshold: float = LINK, linkage: str = "complete") -> DataFrame:
     """(by, cluster, id, truncated) of (by, id, embedding): greedy clusters, cut to the most central members.
 
-    The reader takes at most a hundred entries per project, so a group fits a task.
+    Each entry depends on those before it, so a group is one task, which holds its vectors but no matrix of pairs.
     """
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", ignore_index=True)
         x = np.array(rows["embedding"].tolist(), dtype=float)
-        similar = x @ x.T
         out = []
-        for k, members in enumerate(greedy_clusters(similar, threshold, linkage)):
-            central = sorted(members, key=lambda i: (-similar[i, members].mean(), i))
+        for k, members in enumerate(_greedy(lambda i: x[:i] @ x[i], len(x), threshold, linkage)):
+            near = dict(zip(members, (x[members] @ x[members].mean(axis=0)).round(12), strict=True))
+            central = sorted(members, key=lambda i: (-near[i], i))
             out += [(rows[by][0], k, int(rows["id"][i]), len(members) > MAX_MEMBERS) for i in sorted(central[:MAX_MEMBERS])]
         return pd.DataFrame(out, columns=[by, "cluster", "id", "truncated"])
 

@@ -547,8 +547,51 @@ def suggest_topic(spark, sf_dir):
 
 @query()
 def theme_clusters(spark, sf_dir):
-    v = A.table(spark, sf_dir, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return memory.clusters(v, "label", 0.3)
+    return memory.clusters(_labelled(spark, sf_dir), "label", 0.3)
+
+
+# Queries above whose SQL reads a part of a table, over the whole of it; tests hold them against brute force.
+
+
+def _labelled(spark, sf_dir):
+    return A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+@query()
+def cohesion_whole(spark, sf_dir):
+    return memory.cohesion_by_blocks(_labelled(spark, sf_dir), "label")
+
+
+@query()
+def coverage_gap_whole(spark, sf_dir):
+    v = _labelled(spark, sf_dir)
+    return memory.coverage(memory.mean_vectors(v, "label").withColumnRenamed("label", "id"), v.select(F.col("id").alias("decision_id"), "embedding"))
+
+
+@query()
+def resolve_relative_whole(spark, sf_dir):
+    raws = spark.createDataFrame([("/x/./y",), ("../u/v.py",), ("../../../z",), ("./w//q/../r",), ("k",)], "raw string")
+    f = A.files(spark, sf_dir).select("rel_path").crossJoin(F.broadcast(raws))
+    return f.select("rel_path", "raw", paths.resolve(F.col("rel_path"), F.col("raw")).alias("target"))
+
+
+def _every_edge(spark, sf_dir):
+    return A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("source_file_id"), F.col("l_partkey").cast("long").alias("target_file_id"), F.lit("import").alias("kind"))
+
+
+@query()
+def relations_forward_whole(spark, sf_dir):
+    return edges.traverse(_every_edge(spark, sf_dir), spark.createDataFrame([(_START,)], "file_id long"), 2)
+
+
+@query()
+def relations_reverse_whole(spark, sf_dir):
+    return edges.traverse(_every_edge(spark, sf_dir), spark.createDataFrame([(_START,)], "file_id long"), 2, reverse=True)
+
+
+@query()
+def scrub_key_values_whole(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", text.scrub_assignments(F.col("text")).alias("masked"))
 
 
 # Windows over the event log.
