@@ -10,6 +10,10 @@ from quarrykit.functions.variables import has_markers, substitute
 
 # Candidate files of Python and JavaScript imports, in order.
 JS_EXTENSIONS = (".js", ".jsx", ".ts", ".tsx")
+#: References to names that a directory declares, with the names' prefix in the declarations.
+TF_SYMBOLS = {"tf_var_ref": "var", "tf_local_ref": "local", "tf_module_ref": "module"}
+#: Declarations: they give targets and are no references themselves.
+DECLARATIONS = ("tf_decl", "helm_define")
 #: Below this many rows the visited set of a traversal is broadcast.
 SMALL = 100_000
 
@@ -108,6 +112,7 @@ def candidates() -> Column:
     return (
         F.when(kind.isin("import", "from_import", "dynamic_import") & (F.col("lang") == "python"), python_candidates(source, raw, symbol))
         .when(kind.isin("import", "require", "dynamic_import"), js_candidates(source, raw))
+        .when(kind.isin(*TF_SYMBOLS, "helm_include"), F.array().cast("array<string>"))  # by symbol_targets
         .when(kind.startswith("tf_"), terraform_candidates(source, raw, kind))
         .when(kind.startswith("ansible_"), ansible_candidates(source, raw, symbol, kind))
         .otherwise(manifest_candidates(source, raw, symbol, kind))
@@ -121,18 +126,45 @@ def first_match(edges: DataFrame, files: DataFrame, candidate: Column) -> DataFr
     return edges.join(hit, ["project_id", "edge_id"], "left")
 
 
+def symbol_targets(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(project_id, edge_id, declared_in) of references by name.
+
+    A Terraform name is declared in the directory of its reference, a Helm
+    template under the ``templates`` of the nearest chart above it. Of several
+    declarations the one in the last path counts.
+    """
+    kind, source = F.col("kind"), F.col("source_rel")
+    known = files.select("project_id", F.col("rel_path").alias("source_rel"), "file_id")
+    helm = kind.isin("helm_include", "helm_define")
+    refs = edges.where(kind.isin(*TF_SYMBOLS, "helm_include")).select("project_id", "edge_id", "source_rel", "kind", "raw")
+    refs = refs.join(known, ["project_id", "source_rel"], "left").join(nearest_chart(files), "file_id", "left")
+    prefix = F.coalesce(*(F.when(kind == k, v) for k, v in TF_SYMBOLS.items()))
+    name = F.when(helm, F.col("raw")).otherwise(F.concat_ws(".", prefix, F.substring_index("raw", ".", -1)))
+    refs = refs.select("project_id", "edge_id", helm.alias("helm"), F.when(helm, F.col("chart_dir")).otherwise(paths.dir_name(source)).alias("scope"), name.alias("name"))
+    chart = F.when(source.rlike("^(?:.*/)?templates/"), F.regexp_extract(source, "^(?:(.*)/)?templates/", 1))
+    declared = edges.where(kind.isin(*DECLARATIONS)).join(known, ["project_id", "source_rel"])
+    declared = declared.select("project_id", helm.alias("helm"), F.when(helm, chart).otherwise(paths.dir_name(source)).alias("scope"), F.col("raw").alias("name"), "source_rel", "file_id")
+    declared = declared.groupBy("project_id", "helm", "scope", "name").agg(F.max_by("file_id", "source_rel").alias("declared_in"))
+    return refs.join(declared, ["project_id", "helm", "scope", "name"]).select("project_id", "edge_id", "declared_in")
+
+
 def resolve(edges: DataFrame, files: DataFrame, variables: Column | None = None, syntax: str = "jinja") -> DataFrame:
     """Raw edges with their targets; templated ones get their variables first, if all are known.
 
     Always against all files, so an update gives what a rebuild gives.
+    Declarations (``DECLARATIONS``) are used as targets and left out.
     """
+    def matched(edges: DataFrame) -> DataFrame:
+        out = first_match(edges.where(~F.col("kind").isin(*DECLARATIONS)), files, candidates())
+        out = out.join(symbol_targets(edges, files), ["project_id", "edge_id"], "left")
+        return out.withColumn("target_file_id", F.coalesce("target_file_id", "declared_in")).drop("declared_in")
+
     if variables is not None:
         done = substitute(F.col("raw"), variables, syntax)
         templated = has_markers(F.col("raw"))
         edges = edges.withColumn("_done", F.when(templated, done)).withColumn("_raw", F.col("raw")).withColumn("raw", F.when(templated & F.col("_done.complete"), F.col("_done.text")).otherwise(F.col("raw")))
-        out = first_match(edges, files, candidates())
-        return out.withColumn("raw", F.col("_raw")).drop("_raw", "_done")
-    return first_match(edges, files, candidates())
+        return matched(edges).withColumn("raw", F.col("_raw")).drop("_raw", "_done")
+    return matched(edges)
 
 
 def nearest_chart(files: DataFrame) -> DataFrame:

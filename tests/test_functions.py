@@ -59,6 +59,17 @@ def test_resolution_uses_variables_and_all_files(spark):
     assert got == {1: (10, "web"), 2: (11, "tasks/{{ env }}.yml"), 3: (None, "tasks/{{ other }}.yml")}
 
 
+def test_names_resolve_to_their_declarations(spark):
+    paths_ = ["net/vars.tf", "net/main.tf", "app/main.tf", "c/Chart.yaml", "c/templates/_h.tpl", "c/templates/x/d.yaml", "c/charts/s/Chart.yaml", "c/charts/s/templates/_h.tpl", "c/charts/s/templates/d.yaml"]
+    files = spark.createDataFrame([(1, 10 + i, p) for i, p in enumerate(paths_)], "project_id int, file_id long, rel_path string")
+    raw = [(0, "tf_decl", "var.region"), (1, "tf_decl", "local.tags"), (1, "tf_decl", "module.vpc"), (2, "tf_decl", "var.other"), (4, "helm_define", "name"), (7, "helm_define", "name")]
+    raw += [(1, "tf_var_ref", "region"), (0, "tf_local_ref", "tags"), (0, "tf_module_ref", "vpc"), (2, "tf_var_ref", "region"), (1, "tf_local_ref", "region"), (5, "helm_include", "name"), (8, "helm_include", "name"), (5, "helm_include", "none")]
+    e = spark.createDataFrame([(1, i, paths_[at], "x", kind, text_, None) for i, (at, kind, text_) in enumerate(raw)], "project_id int, edge_id int, source_rel string, lang string, kind string, raw string, symbol string")
+    for known in (None, F.create_map(F.lit("env"), F.lit("prod"))):
+        got = {r["edge_id"]: r["target_file_id"] for r in edges.resolve(e, files, known).collect()}
+        assert got == {6: 10, 7: 11, 8: 11, 9: None, 10: None, 11: 14, 12: 17, 13: None}
+
+
 def test_manual_variables_win(spark):
     schema = "project_id int, scope string, name string, value string, source string, created_at double, updated_at double"
     held = spark.createDataFrame([(1, "all", "env", "prod", "manual", 1.0, 1.0)], schema)
