@@ -1,13 +1,15 @@
-"""Suffix-array dedup: repeated 100-byte strings by merging Burrows-Wheeler transforms.
+"""Dedup of repeated 100-byte strings by interleave refinement over hashed symbols.
 
 The suffixes that can matter are dealt out by content: each 100-byte window has
 a minimizer, equal windows have equal ones, and only windows whose minimizer
-occurs again go on. In each part the pieces' transforms are merged by iterative
-interleave refinement: the interleave that is right for the first t symbols of
-all suffixes becomes right for t + 1 by one stable pass over the symbols in
-front of them. Symbols are 25 bytes long, so four passes order the suffixes by
-100 bytes, and blocks that stay together are the repeated intervals. As ties
-keep the order of the documents, the first of each block is the earliest.
+occurs again go on. The passes are those of a merge of Burrows-Wheeler
+transforms: an interleave by the first t symbols of all suffixes becomes one by
+t + 1 by one stable pass over the symbols in front of them. But no piece's
+transform is built: symbols are 64-bit hashes of 25 bytes, so four passes do
+instead of a hundred, and the order is that of the hashes, no suffix order, and
+gives no common prefixes. It groups windows of 100 bytes by equality, which is
+all that dedup asks; blocks that stay together are the repeated windows. As
+ties keep the order of the documents, the first of each block is the earliest.
 """
 
 from __future__ import annotations
