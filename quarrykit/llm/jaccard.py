@@ -1,10 +1,11 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
-
-Each document's set of five-word shingles gets a signature of several trees'
-hash strings. Strings sorted in a prefix trie meet at nodes; the depth at which
-two documents must meet is shortened, from the longest, until the expected
-recall at the threshold reaches the target. Documents that meet anywhere are
-candidates, and candidates are verified on their whole shingle sets, block by
+"""N-gram Jaccard self-join by MinHash bands with exact verification.
+
+Each document's set of five-word shingles gets a signature of several bands of
+hashes. Their length is fixed before the data is read: the longest at which the
+expected recall at the threshold reaches the target. This took the place of an
+LSH forest, whose prefixes are shortened where a document found too few: a join
+at one threshold needs the same length everywhere. Documents that share a whole
+band are candidates, and candidates are verified on their whole shingle sets, block by
 block, so that large groups are neither expanded into pairs nor held in one task.
 """
 
@@ -186,7 +187,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, target:
     rows link to each other; an empty table gives no rows; further columns are
     ignored.
 
-    Pairs of exactly the threshold meet in the forest with probability
+    Pairs of exactly the threshold meet in a band with probability
     ``target`` or more, closer ones with a higher one; what meets is verified
     exactly. Documents with one shingle set are one node, so copies cost
     nothing; a group of candidates is verified in blocks of fixed size.
