@@ -23,11 +23,23 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark, "_quarrykit_dir", None) or tempfile.mkdtemp(prefix="quarrykit-")
-        spark._quarrykit_dir = found
+    """This session's folder below the one that driver and executors share; it goes when the driver ends.
+
+    Where no shared folder is set a temporary one serves, but only a driver
+    that runs its tasks itself (tests, bench).
+    """
+    found = getattr(spark, "_quarrykit_dir", None)
+    if found is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            root = tempfile.mkdtemp(prefix="quarrykit-")
+        found = spark._quarrykit_dir = f"{root}/quarrykit/{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
     return found
 
 
@@ -42,7 +54,7 @@ def settle(df: DataFrame, release: bool = False) -> DataFrame:
     when the driver's JVM happens to collect its garbage.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarrykit/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     if release:
         spark.conf.set(_CLEANUP, "true")

@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from .common import opened, settle, shared, words_of
 
 #: Item words that one automaton (and so one broadcast) holds; more items are read in several blocks.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 #: Slots of the word-pair filter.
 _PAIR_BITS = 20
 _A, _B = 2654435761, 40503
 
-_REPORT = "doc_id long, n_words long, longest int, spans array<struct<first:int,last:int>>, items array<string>"
+_LOWER_TEXT = {c: c + 32 for c in range(0x41, 0x5B)}
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -144,35 +144,62 @@ class SuffixAutomaton:
         return [tuple(s) for s in spans], items, longest
 
 
-def _reports(automaton) -> callable:
+_SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+_FOUND = (("_n_words", pa.int64()), ("_longest", pa.int32()), ("_spans", _SPANS), ("_items", pa.list_(pa.string())))
+_FOUND_DDL = "_row {row}, _text string, _n_words long, _longest int, _spans array<struct<first:int,last:int>>, _items array<string>"
+
+
+def union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of the words in either list of spans."""
+    out: list[list[int]] = []
+    for first, last in sorted([*a, *b]):
+        if out and first <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], last)
+        else:
+            out.append([first, last])
+    return [tuple(s) for s in out]
+
+
+def _found(automaton) -> callable:
+    """Adds the matches of one block of items to those that a row already carries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = opened(automaton)
         for batch in batches:
-            out = {k: [] for k in ("doc_id", "n_words", "longest", "spans", "items")}
-            out["doc_id"] = batch.column(0)
-            for text in batch.column(1):
+            before = [batch.column(i).to_pylist() for i in range(2, 6)] if batch.num_columns > 2 else None
+            out: tuple[list, ...] = ([], [], [], [])
+            for row, text in enumerate(batch.column(1)):
                 words = words_of(text.as_py())
                 spans, items, longest = known.matches(words)
-                out["n_words"].append(len(words))
-                out["longest"].append(longest)
-                out["spans"].append([{"first": a, "last": b} for a, b in spans])
-                out["items"].append(sorted(items))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("longest", pa.int32()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.string()))]))
+                if before:
+                    spans = union(spans, [(s["first"], s["last"]) for s in before[2][row]])
+                    items, longest = items.union(before[3][row]), max(longest, before[1][row])
+                for column, v in zip(out, (len(words), longest, [{"first": a, "last": b} for a, b in spans], sorted(items)), strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, (_, t) in zip(out, _FOUND, strict=True))], names=["_row", "_text", *(n for n, _ in _FOUND)])
 
     return run
 
 
-def _union(spans):
-    """Merge spans that several item blocks found."""
-    begin = F.array_sort(spans)
-    zero = F.expr("cast(array() as array<struct<first:int,last:int>>)")
-
-    def add(done, s):
-        joins = (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1))["last"], F.lit(-9)) >= s["first"] - 1)
-        merged = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(done, F.lit(-1))["first"].alias("first"), F.greatest(F.try_element_at(done, F.lit(-1))["last"], s["last"]).alias("last"))))
-        return F.when(joins, merged).otherwise(F.concat(done, F.array(F.struct(s["first"].alias("first"), s["last"].alias("last")))))
+def _matched(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """``rows`` (_row, _text) with _n_words, _longest, _spans and _items over all items.
 
-    return F.aggregate(begin, zero, add)
+    Each block of items is one pass over the rows, which carry what the blocks
+    before have found; between blocks the rows are written, so that no worker
+    holds two automata. Rows stay rows whatever their ids.
+    """
+    spark = rows.sparkSession
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // (block_words * 4)))  # a word and its gap take two bytes or more, here four on average
+    schema = _FOUND_DDL.format(row=rows.schema["_row"].dataType.simpleString())
+    for k in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        held = [(r["item_id"], words_of(r["text"])) for r in part.collect()]
+        automaton = shared(spark, SuffixAutomaton(sorted(held), window))
+        rows = rows.mapInArrow(_found(automaton), schema)
+        rows = settle(rows) if k + 1 < blocks else rows
+    return rows
 
 
 def match_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -182,28 +209,14 @@ def match_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_wo
     ``items`` the sorted item_ids with an occurring window, ``longest`` the
     longest match in words. A document or item without words (null, empty,
     punctuation only) matches nothing; repeated item rows count once; repeated
-    documents each get a row; with no items no word is hit; further columns of
-    either table are ignored. Items of more than ``block_words`` words in all
-    are split into blocks of item_ids, read one after another, and the blocks'
-    spans are merged; repeated doc_ids then need to hold one text.
+    documents, and rows of a null doc_id, each get a row; with no items no word
+    is hit; further columns of either table are ignored; an empty table gives
+    no rows. Items of more than ``block_words`` words in all are read block by
+    block with the same result.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (block_words * 4)))  # a word and its gap take two bytes or more, here four on average
-    found = []
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        held = [(r["item_id"], words_of(r["text"])) for r in part.collect()]
-        automaton = shared(spark, SuffixAutomaton(sorted(held), window))
-        found.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_reports(automaton), _REPORT))
-    if blocks == 1:
-        return found[0]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionAll(more)
-    every = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("longest").alias("longest"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return every.withColumn("spans", _union(F.col("spans")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_row"), F.col("text").alias("_text"))
+    found = _matched(rows, benchmark, window, block_words)
+    return found.select(F.col("_row").alias("doc_id"), *(F.col(n).alias(n[1:]) for n, _ in _FOUND))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2) -> DataFrame:
@@ -212,52 +225,39 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items:
     return match_items(docs, benchmark, window).select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= least_items).alias("contaminated"))
 
 
-def _cutter(automaton, drop_words: int, drop_share: float, at: int, names: list[str]) -> callable:
+def _cut(drop_words: int, drop_share: float) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = opened(automaton)
         for batch in batches:
-            keep, texts, changed = [], [], {}
-            for row, value in enumerate(batch.column(at)):
-                text = value.as_py()
-                words = words_of(text)
-                spans, _, longest = known.matches(words)
-                hit = sum(b - a + 1 for a, b in spans)
-                keep.append(not spans or (longest < drop_words and hit < drop_share * len(words)))
+            texts, keep, chars = [], [], []
+            for text, n_words, longest, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                hit = sum(s["last"] - s["first"] + 1 for s in spans)
+                keep.append(not spans or (longest < drop_words and hit < drop_share * n_words))
                 if spans and keep[-1]:
-                    bounds = [m.span() for m in _WORD.finditer(re.sub("[A-Z]", lambda m: m[0].lower(), text))]
-                    for a, b in reversed(spans):
-                        text = text[: bounds[a][0]] + text[bounds[b][1] :]
-                    changed[row] = len(text)
+                    bounds = [m.span() for m in _WORD.finditer(text.translate(_LOWER_TEXT))]
+                    for s in reversed(spans):
+                        text = text[: bounds[s["first"]][0]] + text[bounds[s["last"]][1] :]
                 texts.append(text)
-            columns = list(batch.columns)
-            if changed:
-                columns[at] = pa.array(texts, batch.schema.field(at).type)
-                if "n_chars" in names:
-                    k = names.index("n_chars")
-                    columns[k] = pa.array([changed.get(i, n) for i, n in enumerate(columns[k].to_pylist())], batch.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+                chars.append(len(text) if spans and keep[-1] else None)
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(chars, pa.int64())], names=["_row", "_text", "_cut"])
+            yield out.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, drop_words: int = 13, drop_share: float = 0.2) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, drop_words: int = 13, drop_share: float = 0.2, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without benchmark text, in the same columns.
 
     A document goes when a match reaches ``drop_words`` words or the hit words
-    reach ``drop_share`` of it; from the others shorter hit spans are cut out
-    (``n_chars``, where present, follows the text). Documents without a hit
-    stay as they are, also those with null or empty text. The items must fit
-    one automaton; larger sets are applied block by block.
+    of all items reach ``drop_share`` of it; from the others shorter hit spans
+    are cut out (``n_chars``, where present, follows the text). Documents
+    without a hit stay as they are, also those with null or empty text; each
+    row is judged by itself, so repeated rows stay or go together and ids may
+    repeat or be null; an empty table gives no rows, and no items cut nothing.
+    Every block of items has read a document before it is judged.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (BLOCK_WORDS * 4)))
-    names = docs.columns
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        automaton = shared(spark, SuffixAutomaton(sorted((r["item_id"], words_of(r["text"])) for r in part.collect()), window))
-        docs = docs.mapInArrow(_cutter(automaton, drop_words, drop_share, names.index("text"), names), docs.schema)
-        docs = settle(docs) if blocks > 1 else docs
-    return docs
-
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(0).alias("_none")]
+    rows = docs.select(F.struct(*others).alias("_row"), F.col("text").alias("_text"))
+    out = _matched(rows, benchmark, window, block_words).mapInArrow(_cut(drop_words, drop_share), f"_row {rows.schema['_row'].dataType.simpleString()}, _text string, _cut long")
+    changed = {"text": F.col("_text"), "n_chars": F.coalesce(F.col("_cut"), F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
+    fields = [(changed[f.name] if changed.get(f.name) is not None else F.col(f"_row.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema.fields]
+    return out.select(*fields)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrykit.llm import decontaminate as D
 from quarrykit.llm.common import words_of
@@ -43,9 +44,8 @@ def bench(spark, rows):
 def test_blocks_give_the_same(docs, bench, rows):
     key = lambda r: (r["doc_id"] or -1, r["n_words"])
     rows_of = lambda df: sorted([(key(r), [tuple(s) for s in r["spans"]], r["items"], r["longest"]) for r in df.collect()])
-    once = docs.where("doc_id is not null and doc_id <> 11")
-    whole = rows_of(D.match_items(once, bench))
-    assert whole == rows_of(D.match_items(once, bench, block_words=20))
+    whole = rows_of(D.match_items(docs, bench))
+    assert whole == rows_of(D.match_items(docs, bench, block_words=20)) and len(whole) == len(rows)
     assert len(D.match_items(docs, bench).collect()) == len(rows)
     got = {r["doc_id"]: r for r in D.report(docs, bench).collect()}
     assert got[20]["contaminated"] and got[20]["n_items"] == 2 and got[20]["n_hit"] == 39
@@ -61,3 +61,20 @@ def test_clean(docs, bench, empty, rows):
     soft = {r["doc_id"]: r for r in D.clean(docs, bench, drop_words=99, drop_share=0.9).collect()}
     assert len(words_of(soft[20]["text"])) == len(words_of(dict((r[0], r[1]) for r in rows)[20])) - 39 and soft[20]["n_chars"] == len(soft[20]["text"])
     assert D.clean(empty, bench).count() == 0 and D.report(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_clean_judges_all_blocks_together(spark, docs, bench, rows):
+    twice = docs.unionByName(docs.where("doc_id in (1, 20)")).withColumn("weight", docs["weight"] * 2)
+    text = dict((r[0], r[1]) for r in rows)[20].split()
+    # 20 hit words of 60 from items of different blocks: neither block alone reaches the share.
+    items = bench.select("item_id", "text").unionByName(spark.createDataFrame([("x", " ".join(text[60:70])), ("y", " ".join(text[75:85]))], "item_id string, text string"))
+    mixed = twice.unionByName(docs.where("doc_id = 20").withColumn("text", F.lit(" ".join(text[55:115]))))
+    for share in (0.3, 0.5):
+        one = sorted((tuple(r) for r in D.clean(mixed, items, drop_words=50, drop_share=share).select("doc_id", "text", "n_chars", "weight").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        many = sorted((tuple(r) for r in D.clean(mixed, items, drop_words=50, drop_share=share, block_words=12).select("doc_id", "text", "n_chars", "weight").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        assert one == many
+        assert any(r[0] == 20 and len(r[1].split()) == 40 for r in one) == (share == 0.5)
+
+
+def test_union_of_spans():
+    assert D.union([(0, 2), (5, 6)], [(3, 3), (8, 9)]) == [(0, 3), (5, 6), (8, 9)] and D.union([], []) == []
