@@ -5,46 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Matches that one fold appends; a text's matches are folded block by block.
+#: Matches of a block: a position is a sum over at most so many matches and over the blocks before.
 BLOCK = 256
+SPANS = "array<struct<start:int,end:int,hit:string,left:string,right:string>>"
+_NONE = f"cast(array() as {SPANS})"
 
 
-def found(text: Column, pattern: str, guard: Column | None = None) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start:int,end:int,hit:string>>, end exclusive.
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once; an expression inside a lambda is evaluated for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def found(text: Column, pattern: str, guard: Column | None = None, reach: int = 0) -> Column:
+    """Leftmost non-overlapping matches as array<struct<start:int,end:int,hit:string,left:string,right:string>>, end exclusive.
 
     ``text`` must not be null. ``guard``, where false, spares the search. The
-    pieces between the matches give the positions.
+    pieces between the matches give the positions; ``left`` and ``right`` are up
+    to ``reach`` code points of the text before and after the match (empty
+    without a reach), read from the pieces and matches around it, so that no
+    match makes the whole text be read again.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(hits, F.slice(F.split(text, pattern, -1), 1, F.size(hits)), lambda h, gap: F.struct(F.length(gap).alias("gap"), h.alias("hit")))
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(hits) - 1, F.lit(0)), F.lit(BLOCK)), lambda b: F.slice(pairs, b + 1, BLOCK))
-    # Blocks with the position at which each begins, then the matches of each block.
-    empty_blocks = "cast(named_struct('at', 0, 'out', array()) as struct<at:int,out:array<struct<at:int,own:array<struct<gap:int,hit:string>>>>>)"
-    begun = F.aggregate(
-        blocks,
-        F.expr(empty_blocks),
-        lambda acc, b: F.struct(
-            (acc["at"] + F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["hit"]))).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), b.alias("own")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    empty = "cast(array() as array<struct<start:int,end:int,hit:string>>)"
-
-    def fold(block: Column) -> Column:
-        start = F.struct(block["at"].alias("at"), F.expr(empty).alias("out"))
-        return F.aggregate(
-            block["own"],
-            start,
-            lambda acc, x: F.struct(
-                (acc["at"] + x["gap"] + F.length(x["hit"])).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["hit"])).alias("end"), x["hit"].alias("hit")))).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
 
+    def near(side, a: Column, b: Column) -> Column:
+        """The ends of two strings that stand side by side."""
+        return side(F.concat(side(a, F.lit(reach)), side(b, F.lit(reach))), F.lit(reach)) if reach else F.lit("")
+
+    def paired(x: Column) -> Column:
+        hits, gaps = x["hits"], x["gaps"]
+        none, n = F.array(F.lit("")), F.size(hits)
+        each = F.arrays_zip(hits.alias("hit"), gaps.alias("gap"), F.concat(none, hits).alias("last"), F.slice(gaps, 2, n).alias("then"), F.concat(F.slice(hits, 2, n), none).alias("next"))
+        return F.transform(F.slice(each, 1, n), lambda p: F.struct(F.length(p["gap"]).alias("gap"), p["hit"].alias("hit"), near(F.right, p["last"], p["gap"]).alias("left"), near(F.left, p["then"], p["next"]).alias("right")))
+
+    def placed(x: Column) -> Column:
+        """Positions by sums within blocks and over blocks; nothing is appended to."""
+        total = lambda own: F.aggregate(own, F.lit(0), lambda n, p: n + p["gap"] + F.length(p["hit"]))
+        one = lambda at, p: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + F.length(p["hit"])).alias("end"), p["hit"].alias("hit"), p["left"].alias("left"), p["right"].alias("right"))
+        block = lambda at, own: F.transform(own, lambda p, i: one(at + total(F.slice(own, 1, i)), p))
+        before = lambda sums, k: F.aggregate(F.slice(sums, 1, k), F.lit(0), lambda n, v: n + v)
+        blocks = F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(BLOCK)), lambda k: F.slice(x, k + 1, BLOCK))
+        summed = let(blocks, lambda bs: F.struct(bs.alias("blocks"), F.transform(bs, total).alias("sums")))
+        return let(summed, lambda y: F.flatten(F.transform(y["blocks"], lambda own, k: let(before(y["sums"], k), lambda at: block(at, own)))))
+
+    pairs = let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")), paired)
+    folded = let(pairs, placed)
     searched = text.rlike(pattern) if guard is None else guard & text.rlike(pattern)
-    return F.when(searched, F.flatten(F.transform(begun, fold))).otherwise(F.expr(empty))
+    return F.when(searched, folded).otherwise(F.expr(_NONE))
 
 
 def tagged(spans: Column, kind: str, rank: int) -> Column:

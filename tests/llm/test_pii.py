@@ -61,3 +61,16 @@ def test_short_digit_tails_are_candidates(spark):
 
 def test_empty(empty):
     assert pii.report(empty).count() == 0
+
+
+def test_shapes_and_words_after_find_unseen_identifiers(spark):
+    seen = [(i, f"x{i} +1 (55{i}) 555-000{i} rest") for i in range(8)]
+    unseen = [(20, "so +1 (550) 555-0101 1.2.3.4 5 and"), (21, "the 300.2.3.4 and 1234567890123456")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(seen + unseen, "doc_id long, text string")).collect()}
+    assert got[20].startswith("context:12:20,") and got[21] == "" and got[3] == "phone:3:20"
+
+
+def test_long_runs_end(spark):
+    texts = ["a@b" + ".c" * 100_000, "a" * 1_000_000, "1" * 200_000, "+1" * 50_000, "+1" + "." * 100_000, "ab1cd " * 30_000, "a@" * 50_000]
+    got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0]["spans"] == "email:0:200003" and not got[1]["spans"] and not got[2]["spans"]

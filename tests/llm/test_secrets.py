@@ -41,3 +41,18 @@ def test_only_unseen_pairs_are_scanned(spark):
 
 def test_empty(empty):
     assert secrets.report(empty).count() == 0
+
+
+def test_ledger_grows_batch_by_batch(spark, docs, rows):
+    want = sorted((str(r["doc_id"]), str(r["found"])) for r in secrets.scan(docs)[0].collect())
+    for batches in (3,):
+        findings, ledger = secrets.ledgered(docs, batches)
+        assert sorted((str(r["doc_id"]), str(r["found"])) for r in findings.collect()) == want
+        assert ledger.count() == ledger.select("blob", "rule", "version").distinct().count() == len({r[1] or "" for r in rows}) * len(secrets.RULES)
+    assert secrets.scan(docs, ledger)[1].count() == 0
+
+
+def test_long_runs_end(spark):
+    texts = ["eyJ" * 60_000, "a" * 1_000_000, "token" + " " * 200_000, "AKIA" * 50_000, "token = " + "x" * 300_000]
+    got = {r["doc_id"]: r for r in secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[4]["spans"] == "assign:0:300008" and got[3]["spans"] == "access:0:200000" and not got[0]["spans"] and got[1]["spans"] == "hex:0:1000000"
