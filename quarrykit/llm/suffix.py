@@ -1,15 +1,16 @@
-"""Dedup of repeated 100-byte strings by interleave refinement over hashed symbols.
+"""Dedup of repeated 100-byte strings by merging Burrows-Wheeler transforms of shards.
 
 The suffixes that can matter are dealt out by content: each 100-byte window has
 a minimizer, equal windows have equal ones, and only windows whose minimizer
-occurs again go on. The passes are those of a merge of Burrows-Wheeler
-transforms: an interleave by the first t symbols of all suffixes becomes one by
-t + 1 by one stable pass over the symbols in front of them. But no piece's
-transform is built: symbols are 64-bit hashes of 25 bytes, so four passes do
-instead of a hundred, and the order is that of the hashes, no suffix order, and
-gives no common prefixes. It groups windows of 100 bytes by equality, which is
-all that dedup asks; blocks that stay together are the repeated windows. As
-ties keep the order of the documents, the first of each block is the earliest.
+occurs again go on, in pieces of neighbouring windows. Equal pieces are folded.
+What is left of a part is cut into shards; the transform of each is built by
+itself, and the transforms are merged by iterative interleave refinement: a
+pass deals the interleave out by the symbols in front of the suffixes, so that
+after h passes it is sorted by h symbols, and suffixes that part in a pass give
+their common prefix. No suffixes are sorted again. Runs of suffixes with a
+common prefix of 100 bytes are the repeated windows; all but the first place of
+each run is removed. Symbols are 4 exact bytes in their order, so 25 passes do
+and nothing rests on hashes being different.
 """
 
 from __future__ import annotations
@@ -24,11 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-LENGTH, SYMBOL, GRAM = 100, 25, 24
+LENGTH, SYMBOL, GRAM = 100, 4, 24
 #: Pieces of a merge part.
 PIECES_A_PART = 12_000
 #: A minimizer with more pieces is split by a second one.
 HOT = 20_000
+#: Pieces that a task remembers, so that copies leave it decided.
+SEEN = 100_000
+#: Bytes of a shard, and about those of one merge (more only where one key has more distinct pieces).
+SHARD_BYTES, MERGE_BYTES = 1 << 18, 1 << 22
 _TABLE = np.random.default_rng(3).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _C = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93))
@@ -88,36 +93,37 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass") if text else b"", np.uint8)
 
 
-_PIECE = pa.schema([("m", pa.int64()), ("doc_id", pa.int64())])
+_PIECE = pa.schema([("m", pa.int64()), ("tie", pa.int64())])
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             batch = whole.slice(at, 1000)
-            ms, docs = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ms, ties = [], []
+            for tie, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 m = occurrences(_bytes(text.as_py()))
                 ms.append(m.view(np.int64))
-                docs.append(np.full(len(m), doc_id, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ms, docs)], schema=_PIECE)
+                ties.append(np.full(len(m), tie, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ms, ties)], schema=_PIECE)
 
 
-_CUT = "bucket int, doc_id long, start int, len int, piece binary"
-_CUT_SCHEMA = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("len", pa.int32()), ("piece", pa.binary())])
+_CUT = "bucket int, key long, doc_id long, tie long, start int, len int, piece binary"
+_CUT_SCHEMA = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("len", pa.int32()), ("piece", pa.binary())])
 
 
 def _cut(buckets: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple[int, int, int]] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
-                yield one(whole.slice(at, 1000))
+                if len(seen) > SEEN:
+                    seen.clear()
+                yield one(whole.slice(at, 1000), seen)
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        seen: dict[tuple[int, bytes], tuple[int, int]] = {}
-        rows = sorted(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True), key=lambda r: r[0])
-        for doc_id, text, marks in rows:
+    def one(batch: pa.RecordBatch, seen: dict) -> pa.RecordBatch:
+        out: tuple[list, ...] = ([], [], [], [], [], [], [])
+        for doc_id, tie, text, marks in sorted(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True), key=lambda r: r[:2]):
             b = _bytes(text)
             data = b.tobytes()
             m = minimizers(b)
@@ -136,79 +142,188 @@ def _cut(buckets: int) -> callable:
                     cuts = (_runs(second[start : ends[k]]) + start).tolist()
                     parts = [(a, z, value ^ int(second[a : a + 1].view(np.int64)[0])) for a, z in zip(cuts, [*cuts[1:], int(ends[k])], strict=True)]
                 for a, z, key in parts:
-                    piece = data[a : z - 1 + LENGTH]
-                    bucket = (key ^ (key >> 33)) % buckets
-                    first = seen.setdefault((key, piece), (doc_id, a))
-                    if first == (doc_id, a):
-                        out[4].append(piece)
-                    else:  # the same piece came earlier in this batch, so each of its windows did
-                        out[4].append(None)
-                    out[0].append(bucket)
-                    out[1].append(doc_id)
-                    out[2].append(a)
-                    out[3].append(z - a)
+                    piece, place = data[a : z - 1 + LENGTH], (doc_id, tie, a)
+                    first = seen.get(piece)
+                    again = first is not None and first < place
+                    if not again:
+                        seen[piece] = place
+                    # A piece that this task met at an earlier place is decided, so it may go anywhere.
+                    bucket = (tie if again else key ^ (key >> 33)) % buckets
+                    for column, v in zip(out, (bucket, key, doc_id, tie, a, z - a, None if again else piece), strict=True):
+                        column.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _CUT_SCHEMA, strict=True)], schema=_CUT_SCHEMA)
 
     return run
 
 
-def merge(pieces: list[bytes], length: int = LENGTH, symbol: int = SYMBOL) -> np.ndarray:
+class Transform:
+    """The Burrows-Wheeler transform of a shard: its suffixes in order, and the symbol in front of each.
+
+    A symbol is ``SYMBOL`` bytes, numbered in the order of the part's alphabet;
+    0 stands in front of the first suffixes of a piece. A suffix is the row of
+    its symbols, ended by a sign below all of them, and is ordered by its first
+    ``length`` bytes; equal ones keep the order of their places.
+    """
+
+    def __init__(self, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray, first: int, length: int) -> None:
+        n = len(symbols)
+        local = np.arange(n, dtype=np.int32) - np.repeat(begins, sizes).astype(np.int32)
+        rest = np.repeat(sizes, sizes).astype(np.int32) - 1 - local
+
+        def then(rank: np.ndarray, step: int) -> np.ndarray:
+            """The rank ``step`` bytes on; 0 beyond the piece."""
+            out = np.zeros(n, np.int64)
+            out[: max(0, n - step)] = rank[step:]
+            out[rest < step] = 0
+            return out
+
+        rank, known = symbols.astype(np.int64), SYMBOL
+        while known < length:
+            step = min(known, length - known)
+            pair = (rank << 32) | then(rank, step)
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.concatenate(([False], pair[1:] != pair[:-1])))
+            known += step
+        order = np.argsort(rank, kind="stable") if known == SYMBOL else order
+        self.places = (order + first).astype(np.int32)
+        front = np.zeros(n, symbols.dtype)
+        front[SYMBOL:] = symbols[: max(0, n - SYMBOL)]
+        front[local < SYMBOL] = 0
+        self.front = front[order]
+
+
+def _stable(keys: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of small integers, 16 bits at a time."""
+    if most < 1 << 16:
+        return np.argsort(keys.astype(np.uint16), kind="stable")
+    low = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    return low[np.argsort((keys[low] >> 16).astype(np.uint16), kind="stable")]
+
+
+def interleave(shards: list[Transform], alphabet: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the transforms: (places in the merged order, common prefix of each with the one before, ``length`` at most).
+
+    The interleave, which says from which shard the next suffix comes, starts
+    as one shard after the other. A pass deals it out by the symbols in front:
+    sorted by h symbols it becomes sorted by h + 1, and suffixes that part for
+    the first time share h symbols. No suffix is compared with another.
+    """
+    fronts = np.concatenate([t.front for t in shards])
+    source = np.repeat(np.arange(len(shards)), [len(t.front) for t in shards]).astype(np.uint16)
+    n = len(fronts)
+    common = np.full(n, length, np.int32)
+    common[0] = 0
+    block = np.zeros(n, np.int32)
+    index = np.empty(n, np.int64)
+    for h in range(length // SYMBOL):
+        index[np.argsort(source, kind="stable")] = np.arange(n)  # the next unread suffix of each shard
+        symbol = fronts[index]
+        order = _stable(symbol, alphabet)
+        symbol, source, block = symbol[order], source[order], block[order]
+        parted = np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1]))) | (symbol == 0)
+        common[parted & (common == length)] = h * SYMBOL
+        block = np.cumsum(parted, dtype=np.int32)
+        if block[-1] == n:
+            break
+    index[np.argsort(source, kind="stable")] = np.arange(n)
+    return np.concatenate([t.places for t in shards])[index], common
+
+
+def merge(pieces: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
     """Whether each window of ``length`` bytes of the concatenated pieces occurs in an earlier place, as a mask over positions.
 
-    ``pieces`` stand in the order of their places. Windows don't cross pieces.
+    ``pieces`` stand in the order of their places and have ``SYMBOL`` bytes or
+    more; ``length`` is a multiple of ``SYMBOL``. Windows don't cross pieces.
     """
     sizes = np.array([len(p) for p in pieces], np.int64)
-    cat = np.frombuffer(b"".join(pieces), np.uint8)
-    again = np.zeros(len(cat), bool)
-    if len(cat) < length:
+    again = np.zeros(int(sizes.sum()), bool)
+    if not len(again):
         return again
-    begin = np.cumsum(sizes) - sizes
-    local = (np.arange(len(cat)) - np.repeat(begin, sizes)).astype(np.int32)
-    rest = np.repeat(sizes, sizes).astype(np.int32) - local
-    # The first pass orders all suffixes by one symbol; equal symbols keep the order of their places.
-    at = np.flatnonzero(rest >= symbol)
-    value = _grams(cat)[at] if symbol == GRAM else (_grams(cat[: len(cat) - 1]) * _C + _TABLE[cat[GRAM:]])[at]
-    order = np.argsort(value, kind="stable")
-    value = value[order]
-    at = at[order]
-    block = np.cumsum(np.concatenate(([0], value[1:] != value[:-1]))).astype(np.int32)
-    rank = np.zeros(len(cat), np.int32)
-    rank[at] = block
-    for _ in range(length // symbol - 1):
-        # The symbol in front of each suffix, in the order so far: its transform. A stable pass by it refines the interleave.
-        own = local[at] >= symbol
-        at, block = at[own] - symbol, block[own]
-        front = rank[at]
-        order = np.argsort(front, kind="stable")
-        at, front, block = at[order], front[order], block[order]
-        block = np.cumsum(np.concatenate(([0], (front[1:] != front[:-1]) | (block[1:] != block[:-1])))).astype(np.int32) if len(at) else block
-    again[at[1:][block[1:] == block[:-1]]] = True
+    # One more suffix a piece, the empty one, so that every suffix but a piece's first ones has a symbol in front.
+    cat = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+    held, begins = sizes + 1, np.cumsum(sizes + 1) - sizes - 1
+    word = np.zeros(len(cat), np.uint32)
+    for k in range(SYMBOL):
+        word[: len(cat) - k] |= cat[k:].astype(np.uint32) << np.uint32(8 * (SYMBOL - 1 - k))
+    rest = np.repeat(begins + sizes, held) - np.arange(len(cat))
+    alphabet, symbols = np.unique(word, return_inverse=True)
+    symbols = (symbols + 1).astype(np.int32)
+    symbols[rest < SYMBOL] = 0
+    shards, first = [], 0
+    while first < len(pieces):
+        last = max(first + 1, int(np.searchsorted(begins, begins[first] + shard_bytes)))
+        a, z = int(begins[first]), int(begins[last]) if last < len(pieces) else len(cat)
+        shards.append(Transform(symbols[a:z], begins[first:last] - a, held[first:last], a, length))
+        first = last
+    places, common = interleave(shards, len(alphabet) + 1, length)
+    # Suffixes that share ``length`` bytes stand together; all but the first place of each run came before.
+    runs = np.flatnonzero(common < length)
+    leader = np.repeat(np.minimum.reduceat(places, runs), np.diff(np.append(runs, len(places))))
+    late = places[places != leader]
+    again[late - np.searchsorted(begins, late, side="right") + 1] = True
     return again
 
 
-_SPAN = pa.schema([("doc_id", pa.int64()), ("from", pa.int32()), ("to", pa.int32())])
+def _alone(piece: bytes) -> bool:
+    """Whether no window occurs twice within a piece: what all its windows hold would occur again."""
+    n = len(piece) - LENGTH + 1
+    return n <= LENGTH - GRAM + 1 and piece.find(piece[n - 1 : LENGTH], n) < 0
+
+
+_SPAN = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("from", pa.int32()), ("to", pa.int32())])
 
 
 def _repeats(table: pa.Table) -> pa.Table:
-    docs, starts, lens = (table[c].to_numpy() for c in ("doc_id", "start", "len"))
-    decided = table["piece"].is_null().to_numpy(zero_copy_only=False)
-    known = [(docs[decided], starts[decided], starts[decided] + lens[decided] - 1 + LENGTH)]
-    order = np.flatnonzero(~decided)
-    order = order[np.lexsort((starts[order], docs[order]))]
-    if len(order):  # rows that repeat a document are one
-        same = np.concatenate(([False], (docs[order][1:] == docs[order][:-1]) & (starts[order][1:] == starts[order][:-1])))
-        order = order[~same]
-        column = table["piece"]
-        pieces = [column[int(i)].as_py() for i in order]
-        again = merge(pieces)
-        sizes = np.array([len(p) for p in pieces], np.int64)
+    keys, docs, ties, starts, lens = (table[c].to_numpy() for c in ("key", "doc_id", "tie", "start", "len"))
+    ends = starts + lens - 1 + LENGTH
+    whole = table["piece"].is_null().to_numpy(zero_copy_only=False)
+    order = np.flatnonzero(~whole)
+    order = order[np.lexsort((starts[order], ties[order], docs[order]))]
+    column = table["piece"].combine_chunks()
+    pieces: list[bytes] = []
+    owners: list[int] = []
+    firsts: dict[bytes, int] = {}
+    for i in order.tolist():
+        piece = column[i].as_py()
+        j = firsts.setdefault(piece, i)
+        if j == i:
+            pieces.append(piece)
+            owners.append(i)
+        elif (docs[i], ties[i], starts[i]) != (docs[j], ties[j], starts[j]):  # rows that repeat a document are one
+            whole[i] = True
+    known = [(np.flatnonzero(whole), starts[whole], ends[whole])]
+    # Windows of different keys differ, so a piece alone under its key repeats nothing unless within itself.
+    own, counts = np.unique(keys[owners], return_counts=True) if owners else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    many = np.isin(keys[owners], own[counts > 1])
+    left = [k for k in range(len(pieces)) if many[k] or not _alone(pieces[k])]
+    left.sort(key=lambda k: keys[owners[k]])  # stable: places stay in order under one key
+    for part in _parts(left, keys[owners], [len(p) for p in pieces]):
+        again = merge([pieces[k] for k in part])
+        sizes = np.array([len(pieces[k]) for k in part], np.int64)
         begin = np.cumsum(sizes) - sizes
         edge = np.diff(np.concatenate(([0], again.view(np.int8), [0])))  # windows end before their piece does, so runs don't join
         a, z = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        owner = np.searchsorted(begin, a, side="right") - 1
-        shift = starts[order][owner] - begin[owner]
-        known.append((docs[order][owner], a + shift, z - 1 + LENGTH + shift))
-    return pa.table([np.concatenate([k[i] for k in known]).astype(t) for i, t in enumerate((np.int64, np.int32, np.int32))], schema=_SPAN)
+        at = np.searchsorted(begin, a, side="right") - 1
+        row = np.array(owners, np.int64)[np.array(part, np.int64)[at]]
+        shift = starts[row] - begin[at]
+        known.append((row, a + shift, z - 1 + LENGTH + shift))
+    rows, a, z = (np.concatenate([k[i] for k in known]).astype(np.int64) for i in range(3))
+    return pa.table([docs[rows], ties[rows], a.astype(np.int32), z.astype(np.int32)], schema=_SPAN)
+
+
+def _parts(left: list[int], keys: np.ndarray, sizes: list[int]) -> Iterator[list[int]]:
+    """Runs of ``left`` (sorted by key) of about ``MERGE_BYTES``, keys kept whole."""
+    part, held = [], 0
+    for k in left:
+        if part and held > MERGE_BYTES and keys[k] != keys[part[-1]]:
+            yield part
+            part, held = [], 0
+        part.append(k)
+        held += sizes[k]
+    if part:
+        yield part
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -246,18 +361,21 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     Strings are judged on the input. ``kept`` is the rest as text (bytes of cut
     characters left out), null unless ``texts``. Null and empty texts, and those
     of fewer than 100 bytes, lose nothing. Rows that repeat a doc_id with the
-    same text are one document; rows of a null doc_id lose nothing and don't
-    count as earlier. An empty table gives no rows; other columns are ignored.
+    same text are one document; with different texts they are documents of
+    their own, ordered by a hash of the text. Rows of a null doc_id lose nothing
+    and don't count as earlier. An empty table gives no rows; other columns are
+    ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = docs.where("doc_id is not null")
-    places = known.mapInArrow(_places, "m long, doc_id long")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("tie"))
+    known = docs.where("doc_id is not null and octet_length(text) >= 100")
+    places = known.select("tie", "text").mapInArrow(_places, "m long, tie long")
     again = settle(places.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m", "n", (F.col("n") > HOT).alias("hot")), release=True)
     total = again.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // PIECES_A_PART))
-    marks = places.join(again.select("m", "hot"), "m").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("m", "hot")).alias("marks"))
-    marked = known.join(marks.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "marks")
-    spans = marked.mapInArrow(_cut(buckets), _CUT).groupBy("bucket").applyInArrow(_repeats, "doc_id long, from int, to int")
-    spans = settle(spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("from", "to")).alias("spans")), release=True)
-    whole = docs.join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "spans")
+    # What repeats in a row, by the row's hash; of rows that share a hash each gets the marks of all, which only cuts more.
+    marks = places.join(again.select("m", "hot"), "m").groupBy(F.col("tie").alias("_tie")).agg(F.collect_set(F.struct("m", "hot")).alias("marks"))
+    marked = known.join(marks, F.col("tie") == F.col("_tie")).select("doc_id", "tie", "text", "marks")
+    spans = marked.mapInArrow(_cut(buckets), _CUT).groupBy("bucket").applyInArrow(_repeats, "doc_id long, tie long, from int, to int")
+    spans = settle(spans.groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("from", "to")).alias("spans")), release=True)
+    whole = docs.join(spans, (F.col("doc_id") == F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left").select("doc_id", "text", "spans")
     return whole.mapInArrow(_finish(texts), _RESULT)
