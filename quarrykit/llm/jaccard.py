@@ -1,17 +1,24 @@
-"""N-gram Jaccard self-join by MinHash bands with exact verification.
-
-Each document's set of five-word shingles gets a signature of several bands of
-hashes. Their length is fixed before the data is read: the longest at which the
-expected recall at the threshold reaches the target. This took the place of an
-LSH forest, whose prefixes are shortened where a document found too few: a join
-at one threshold needs the same length everywhere. Documents that share a whole
-band are candidates, and candidates are verified on their whole shingle sets, block by
-block, so that large groups are neither expanded into pairs nor held in one task.
+"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
+
+Each document's set of five-word shingles gets a signature of several trees of
+hashes. A tree is a prefix trie, held as its sorted labels: neighbours in that
+order give every trie node as a run, and the prefix that two documents match is
+the least that neighbours between them share. A document starts from the whole
+label and its prefix is shortened, hash by hash, until a partner of the least
+similarity that a set of its size can have at the threshold is met with the
+target recall. So short texts stop at long prefixes, or need no partner at all,
+and the others go as far down as the threshold asks. Documents that share a
+node that both have come down to are candidates, and candidates are verified on
+their whole shingle sets, block by block, so that large groups are neither
+expanded into pairs nor held in one task.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +30,44 @@ from .common import settle, words_of
 from .components import components
 
 WORDS, THRESHOLD, TARGET = 5, 0.8, 0.999
-TREES, DEPTH = 32, 8
+TREES, DEPTH = 32, 10
+#: Bytes of a label: two for each hash.
+_LABEL = 2 * DEPTH
 #: Documents of a verification block.
 BLOCK = 256
 _COLUMNS = 8192
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def depth_for(threshold: float, target: float = TARGET, trees: int = TREES, longest: int = DEPTH) -> int:
-    """The longest prefix at which pairs of ``threshold`` meet in some tree with probability ``target``."""
+def depth_for(similarity: float, target: float = TARGET, trees: int = TREES, longest: int = DEPTH) -> int:
+    """The longest prefix at which pairs of ``similarity`` meet in some tree with probability ``target``."""
     for depth in range(longest, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= target:
+        if 1 - (1 - similarity**depth) ** trees >= target:
             return depth
     return 1
 
 
+@cache
+def least_similarity(size: int, threshold: float) -> float | None:
+    """The least similarity at or above ``threshold`` that a set of ``size`` can have to another set; None if no other set reaches it."""
+    if size > 64:
+        return threshold  # as good as reached
+    found = None
+    for other in range(max(1, ceil(size * threshold - 1e-9)), int(size / threshold + 1e-9) + 1):
+        for shared in range(1, min(size, other) + 1):
+            union = size + other - shared
+            if shared < union and shared >= threshold * union - 1e-9:
+                found = min(found or 1.0, shared / union)
+    return found
+
+
+@cache
+def need(size: int, threshold: float, target: float = TARGET) -> int:
+    """How long a prefix a set of ``size`` must match to find its partners with the target recall; DEPTH + 1 if it has none."""
+    least = least_similarity(size, threshold) if size else None
+    return DEPTH + 1 if least is None else depth_for(least, target)
+
+
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams; a text of fewer words is one shingle; none without words."""
     words = words_of(text)
@@ -73,28 +103,122 @@ def _node_of(own: np.ndarray, text: str | None, doc_id: int | None) -> int:
     return xxhash.xxh3_128_intdigest(data) % (1 << 63)
 
 
-def _signatures(n: int, depth: int, trees: int) -> callable:
+def _signatures(n: int, threshold: float, target: float) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = _multipliers(depth * trees)
-        mix = _multipliers(depth)
+        by = _multipliers(DEPTH * TREES)
         for batch in batches:
-            nodes, sizes, met = [], [], []
+            nodes, needs, labels = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 own = shingles(text, n)
                 nodes.append(_node_of(own, text, doc_id))
-                sizes.append(len(own))
-                if len(own):
-                    strings = signature(own, by).reshape(trees, depth)
-                    strings ^= strings >> np.uint64(31)
-                    met.append((strings * mix).sum(axis=1, dtype=np.uint64).view(np.int64).tolist())
-                else:
-                    met.append([])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int64()), "met": pa.array(met, pa.list_(pa.int64()))})
+                needs.append(need(min(len(own), 65), threshold, target))
+                labels.append((signature(own, by) >> np.uint64(20)).astype(">u2").tobytes() if needs[-1] <= DEPTH else None)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "node": pa.array(nodes, pa.int64()), "need": pa.array(needs, pa.int32()), "labels": pa.array(labels, pa.binary())})
+
+    return run
+
+
+class Walk:
+    """Runs of a sorted trie, read in order: at each depth, documents that have come down to it are linked to the one before in their node."""
+
+    def __init__(self, lowest: int) -> None:
+        self.depths = range(lowest, DEPTH + 1)
+        self.first = self.last = None
+        self.head: dict[int, int | None] = {}  # first document of the run that the part begins with
+        self.tail: dict[int, int | None] = dict.fromkeys(self.depths)  # last one of the run that it ends with
+        self.whole = dict.fromkeys(self.depths, True)  # whether it is one run
+
+    @staticmethod
+    def matched(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes that the labels of two rows of keys (tree, label) share from the start; -1 in different trees."""
+        same = (a[:, 1::2] == b[:, 1::2]) & (a[:, 2::2] == b[:, 2::2])
+        lengths = np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
+        return np.where(a[:, 0] == b[:, 0], lengths, -1)
+
+    def read(self, keys: np.ndarray, nodes: np.ndarray, needs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links that the next rows (in order) add."""
+        start = self.last is None
+        if start:
+            self.first = keys[0]
+        lcp = np.concatenate(([-1] if start else self.matched(self.last[None], keys[:1]), self.matched(keys[:-1], keys[1:])))
+        u, v = [], []
+        for d in self.depths:
+            run = np.cumsum(lcp < d)
+            on = run[0] == 0  # goes on with the run before
+            at = np.flatnonzero(needs <= d)
+            near = run[at][1:] == run[at][:-1]
+            u.append(nodes[at][:-1][near])
+            v.append(nodes[at][1:][near])
+            opening = at[:1][run[at[:1]] == run[0]]
+            if len(opening) and on and self.tail[d] is not None:
+                u.append(np.array([self.tail[d]]))
+                v.append(nodes[opening])
+            if len(opening) and (start or (self.whole[d] and on)):
+                self.head.setdefault(d, int(nodes[opening[0]]))
+            self.whole[d] &= (run[-1] == run[0]) and (start or on)
+            closing = at[-1:][run[at[-1:]] == run[-1]]
+            if len(closing):
+                self.tail[d] = int(nodes[closing[0]])
+            elif run[-1] != run[0] or not on:
+                self.tail[d] = None
+        self.last = keys[-1]
+        u, v = np.concatenate(u), np.concatenate(v)
+        return np.unique(np.stack([u, v], axis=1), axis=0).T if len(u) else (u, v)
+
+
+def borders(walks: list[Walk]) -> list[tuple[int, int]]:
+    """The links between parts that follow each other: from the last document of a run to the first one that goes on with it."""
+    links, last, tail = [], None, {}
+    for w in walks:
+        lcp = -1 if last is None else int(Walk.matched(last[None], w.first[None])[0])
+        for d in w.depths:
+            if lcp >= d and tail[d] is not None and w.head.get(d) is not None:
+                links.append((tail[d], w.head[d]))
+            spanned = w.whole[d] and lcp >= d and w.tail[d] is None
+            tail[d] = tail[d] if spanned else w.tail[d]
+        last = w.last
+    return links
+
+
+def _walked(lowest: int) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = Walk(lowest)
+        schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("part", pa.binary())])
+        for batch in batches:
+            if batch.num_rows:
+                keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, 1 + _LABEL)
+                u, v = walk.read(keys, batch.column(1).to_numpy(), batch.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.nulls(len(u), pa.binary())], schema=schema)
+        if walk.last is not None:
+            yield pa.RecordBatch.from_pydict({"u": [None], "v": [None], "part": [pickle.dumps((walk.first, walk.last, walk.head, walk.tail, walk.whole))]}, schema=schema)
 
     return run
 
 
+def forest(nodes: DataFrame, lowest: int) -> DataFrame:
+    """Candidate links (u, v) of ``nodes`` (node, need, labels): those that share a trie node are connected by them.
+
+    All tries are one table sorted by (tree, label, node), dealt out by range,
+    so that a prefix which many share is spread over tasks. Each part also gives
+    the runs at its borders: one row a part, joined on the driver.
+    """
+    spark = nodes.sparkSession
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    keys = nodes.where(F.col("need") <= DEPTH).select("node", "need", "labels", tree.alias("tree"))
+    keys = keys.select(F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(labels, tree * {_LABEL} + 1, {_LABEL})")).alias("key"), "node", F.col("need").cast("int").alias("need"))
+    ordered = keys.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    found = settle(ordered.mapInArrow(_walked(lowest), "u long, v long, part binary"))
+    parts = []
+    for r in found.where("part is not null").select("part").collect():
+        walk = Walk(lowest)
+        walk.first, walk.last, walk.head, walk.tail, walk.whole = pickle.loads(r["part"])
+        parts.append(walk)
+    parts.sort(key=lambda w: (w.first.tobytes(), w.last.tobytes()))
+    across = borders(parts)
+    return found.where("part is null").select("u", "v").union(spark.createDataFrame(across, "u long, v long")).distinct()
+
+
 def _sets(n: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,19 +311,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, target:
     rows link to each other; an empty table gives no rows; further columns are
     ignored.
 
-    Pairs of exactly the threshold meet in a band with probability
-    ``target`` or more, closer ones with a higher one; what meets is verified
-    exactly. Documents with one shingle set are one node, so copies cost
+    Pairs of exactly the threshold share a node that both came down to with
+    probability ``target`` or more, closer ones with a higher one; what meets is
+    verified exactly. Documents with one shingle set are one node, so copies cost
     nothing; a group of candidates is verified in blocks of fixed size.
     """
-    depth = depth_for(threshold, target)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = settle(docs.mapInArrow(_signatures(n, depth, TREES), "doc_id long, node long, size long, met array<long>"))
-    nodes = settle(rows.groupBy("node").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies"), F.max("met").alias("met")))
-    at = nodes.select("node", F.posexplode("met").alias("tree", "prefix"))
-    meeting = at.groupBy("tree", "prefix").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    candidates = at.join(meeting, ["tree", "prefix"]).select(F.col("node").alias("u"), "v").distinct()
-    groups = settle(components(candidates).withColumnRenamed("root", "group"))
+    rows = settle(docs.mapInArrow(_signatures(n, threshold, target), "doc_id long, node long, need int, labels binary"))
+    nodes = settle(rows.groupBy("node").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies"), F.min("need").alias("need"), F.first("labels").alias("labels")))
+    groups = settle(components(forest(nodes, depth_for(threshold, target))).withColumnRenamed("root", "group"))
     sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
     small = sizes.where(F.col("n") <= BLOCK).agg(F.sum("n")).first()[0] or 0
     bundles = max(1, -(-small // BLOCK))
@@ -209,7 +329,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, target:
     placed = placed.withColumn("big", F.col("blocks") > 1)
     # The texts of one document per candidate node.
     wanted = placed.join(nodes.select("node", "set_id", "copies"), "node")
-    picked = docs.join(wanted.select("node", F.col("set_id").alias("doc_id")).hint("shuffle_hash"), "doc_id").select("node", "doc_id", "text")
+    picked = docs.join(wanted.select("node", F.col("set_id").alias("doc_id")), "doc_id").select("node", "doc_id", "text")
     sets = picked.mapInArrow(_sets(n), "node long, own binary").join(wanted.drop("set_id", "n"), "node")
     paired = sets.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")})
     verified = settle(paired.select("node", "own", "copies", "group", "block", "big", "bundle", "i", "j").groupBy("big", "bundle", "i", "j").applyInArrow(_verify(threshold), _VERIFIED))
@@ -222,10 +342,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, target:
 
 
 def distinct(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, target: float = TARGET) -> DataFrame:
-    """``docs`` with the documents whose doc_id is the least of their class; rows of a null doc_id stay.
+    """``docs`` with the documents whose doc_id is the least of their class, in the same columns.
 
-    Rows that repeat a doc_id are kept or dropped together.
+    Rows that repeat a doc_id are kept or dropped together; rows of a null
+    doc_id stay. Null and empty texts, and texts without words that no other
+    row repeats, stay; ties go to the smaller doc_id; an empty table gives no
+    rows; columns of any name are kept.
     """
     gone = join(docs, threshold, n, target).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct("*").alias("_row"))
-    return rows.join(gone.hint("shuffle_hash"), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
