@@ -41,7 +41,18 @@ def test_index_finds_every_code_within_the_radius():
     queries[:, 0] ^= np.uint64(0b1011)
     distance = sum(np.bitwise_count(queries[:, w, None] ^ codes[None, :, w]).astype(int) for w in range(4))
     for radius in (2, 3, 40, 110, 130):
-        assert (N.MultiIndex(codes).within(queries, radius) == (distance <= radius)).all()
+        got = N.MultiIndex(codes).within(queries, radius)
+        assert set(zip(*(g.tolist() for g in got), strict=True)) == set(zip(*(w.tolist() for w in np.nonzero(distance <= radius)), strict=True))
+
+
+def test_probes_reach_a_small_share():
+    x = np.random.default_rng(2).normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = N.Codes(x, 20)
+    codes = model.encode(x)
+    index, queries = N.MultiIndex(codes), codes[:100]
+    reached, near = index.probed(queries, model.radius).mean(), len(index.within(queries, model.radius)[0]) / (100 * 3000)
+    assert reached < 0.6 and near < 0.1
 
 
 def test_few_and_none(spark):
