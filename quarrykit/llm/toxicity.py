@@ -21,8 +21,6 @@ from .common import opened, settle, shared, words_of
 
 #: Labelled rows that lexicon and weights are learned from.
 TRAIN_ROWS = 20_000
-#: Terms that the lexicon holds at most, the most telling first.
-MAX_TERMS = 1000
 #: A hit inside quotation counts so much.
 QUOTED = 0.25
 #: Code points from which a term tolerates an edit.
@@ -153,10 +151,12 @@ def _sketch(words: list[bytes]) -> list[int]:
     return [min(xxhash.xxh3_64_intdigest(g, seed=s) for g in grams) >> 1 for s in range(4)]
 
 
+_LEARNING = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32()), ("sketch", pa.list_(pa.int64()))])
+
+
 def _learning_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(i, _sketch(words_of(t))) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "sketch": [x for _, x in rows]}, schema=pa.schema([("doc_id", pa.int64()), ("sketch", pa.list_(pa.int64()))]))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_sketch(words_of(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], schema=_LEARNING)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +227,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     At most ``rows`` of them are used, picked by a hash of doc_id; of texts
     that share a five-word sketch only the first is, so that copies don't make
-    their own words telling.
+    their own words telling. Null texts, labels without a row and null labels
+    teach nothing; ties go to the smaller doc_id; columns of other names are
+    ignored; without rows of both labels every text gets one score.
     """
     spark = docs.sparkSession
     label = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = label.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxic")), "doc_id").limit(rows)
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(picked), "doc_id")
-    held = sorted((r["doc_id"], tuple(r["sketch"])) for r in train.select("doc_id", "text").mapInArrow(_learning_rows, "doc_id long, sketch array<long>").collect())
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    # The one read of the documents; everything below reads these few rows.
+    train = settle(labelled.select("doc_id", "text", "toxic").mapInArrow(_learning_rows, "doc_id long, text string, toxic int, sketch array<long>"))
+    held = sorted((r["doc_id"], tuple(r["sketch"])) for r in train.select("doc_id", "sketch").collect())
     seen: set[tuple[int, int]] = set()
     first = []
     for doc_id, sketch in held:
@@ -241,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         if not own & seen:
             first.append((doc_id,))
         seen |= own
-    train = train.join(F.broadcast(spark.createDataFrame(first, "doc_id long")), "doc_id").select("text", "toxic").coalesce(12)
+    train = train.join(F.broadcast(spark.createDataFrame(first, "doc_id long")), "doc_id").select("text", "toxic")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
@@ -249,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     words = settle(train.mapInArrow(_counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
     sure = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    found = words.where("toxic >= 5").withColumn("odds", odds).withColumn("sure", sure).where((F.col("sure") >= 3.1) & (F.col("odds") >= TELLING)).orderBy(F.desc("sure"), "word").limit(MAX_TERMS).collect()
+    found = words.where("toxic >= 5").withColumn("odds", odds).withColumn("sure", sure).where((F.col("sure") >= 3.1) & (F.col("odds") >= TELLING)).collect()  # words of at most TRAIN_ROWS rows
     terms = {r["word"]: r["odds"] for r in found}
     tolerant = {t for t in terms if len(t) >= FUZZY_LENGTH}
     # Words one edit from a term that clean rows hold, unless the toxic ones hold them so much more often.
@@ -296,7 +300,12 @@ def _kept(model, at: int, names: list[str]) -> callable:
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows that score 0.5 or more."""
+    """``docs`` without the rows that score 0.5 or more, in the same columns.
+
+    Each row is judged by its whole text, so repeated rows stay or go together;
+    null and empty texts score as a text without hits; an empty table gives no
+    rows; columns of any name are kept.
+    """
     held = shared(docs.sparkSession, model)
     return docs.mapInArrow(_kept(held, docs.columns.index("text"), docs.columns), docs.schema)
 
