@@ -32,15 +32,28 @@ SENSITIVE_KEYS = (
 #: Whitespace spelled out, as regex dialects disagree about \s.
 BLANKS = "[ \\t\\n\\r\\f\\x0B]"
 TERM = "[A-Za-z0-9_]{2,}"
+#: Blanks that one mark may stand for.
+MOST_BLANKS = 1_000_000
 
 # Extensions of path tokens.
 PATH_EXTENSIONS = "py|ts|tsx|js|jsx|mjs|cjs|yml|yaml|tf|tfvars|hcl|md|json|sh|bash|j2|jinja|jinja2|tpl|tftpl|Dockerfile"
 PATH_TOKEN = rf"\b[a-zA-Z0-9_./-]+\.(?:{PATH_EXTENSIONS})\b"
 
 
+#: What a text must hold for a pattern to be searched at all, where the search may be slow on long unbroken runs.
+_GUARDS = {SECRET_PATTERNS[4]: ".eyJ", SECRET_PATTERNS[5]: "-----END ", SECRET_PATTERNS[9]: "://"}
+#: The last pattern from the first letter of a run on: a run of scheme characters is searched once, not from each letter.
+_FROM_RUN = {SECRET_PATTERNS[9]: (r"(?<![a-zA-Z0-9+.\-])([0-9+.\-]*+)" + SECRET_PATTERNS[9], "$1" + MASK)}
+
+
 def scrub(text: Column) -> Column:
     """Every secret replaced by the mask; a second pass changes nothing."""
-    return reduce(lambda c, p: F.regexp_replace(c, p, MASK), SECRET_PATTERNS, text)
+
+    def mask(c: Column, pattern: str) -> Column:
+        out = F.regexp_replace(c, *_FROM_RUN.get(pattern, (pattern, MASK)))
+        return F.when(F.contains(c, F.lit(_GUARDS[pattern])), out).otherwise(c) if pattern in _GUARDS else out
+
+    return reduce(mask, SECRET_PATTERNS, text)
 
 
 def is_sensitive_key(key: Column) -> Column:
@@ -50,11 +63,13 @@ def is_sensitive_key(key: Column) -> Column:
 
 def scrub_assignments(text: Column) -> Column:
     """``key = "value"`` with a sensitive key: the value replaced by the mask."""
-    pattern = r'([A-Za-z_][A-Za-z0-9_-]*)([ \t\n\r\f\x0B]*=[ \t\n\r\f\x0B]*)"(?:[^"\\]|\\[^\n])*"'
+    # Possessive and unrolled: a value of any length neither recurses nor is read twice.
+    value = r'([ \t\n\r\f\x0B]*+=[ \t\n\r\f\x0B]*+)"[^"\\]*+(?:\\[^\n][^"\\]*+)*+"'
+    pattern = r"(?<![A-Za-z0-9_-])[0-9-]*+([A-Za-z_][A-Za-z0-9_-]*+)" + value
     keys = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
     sensitive = F.filter(keys, is_sensitive_key)
     # One replacement per sensitive key that occurs; most texts have none.
-    masked = F.aggregate(sensitive, text, lambda t, k: F.regexp_replace(t, F.concat(F.lit(r"(?<![A-Za-z0-9_-])("), k, F.lit(r'[ \t\n\r\f\x0B]*=[ \t\n\r\f\x0B]*)"(?:[^"\\]|\\[^\n])*"')), F.lit(f'$1"{MASK}"')))
+    masked = F.aggregate(sensitive, text, lambda t, k: F.regexp_replace(t, F.concat(F.lit(r"(?<![A-Za-z0-9_-])([0-9-]*+"), k, F.lit(")" + value)), F.lit(f'$1$2"{MASK}"')))
     return F.when(F.size(sensitive) > 0, masked).otherwise(text)
 
 
@@ -65,9 +80,10 @@ def compress(text: Column) -> Column:
 
 
 def decompress(text: Column) -> Column:
-    """``^n^`` becomes n spaces."""
+    """``^n^`` becomes n spaces; a number beyond ``MOST_BLANKS`` is no mark."""
     marks = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\^(\d+)\^"), F.lit(1)))
-    return F.aggregate(marks, text, lambda t, n: F.replace(t, F.concat(F.lit("^"), n, F.lit("^")), F.repeat(F.lit(" "), n.cast("int"))))
+    known = F.filter(marks, lambda n: F.coalesce(n.try_cast("int") <= MOST_BLANKS, F.lit(False)))
+    return F.aggregate(known, text, lambda t, n: F.replace(t, F.concat(F.lit("^"), n, F.lit("^")), F.repeat(F.lit(" "), n.try_cast("int"))))
 
 
 def content_hash(text: Column) -> Column:

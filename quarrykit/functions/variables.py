@@ -20,12 +20,13 @@ def names(text: Column, syntax: str) -> Column:
 
 def substitute(text: Column, values: Column, syntax: str) -> Column:
     """struct(text, complete): known variables replaced; complete if every one was known."""
-    own = names(text, syntax)
-    known = F.filter(own, lambda n: F.map_contains_key(values, n))
-    shape = SYNTAX[syntax].split("([a-zA-Z_]\\w*)")
-    quoted = lambda v: F.regexp_replace(v, r"([\\$])", r"\\$1")
-    out = F.aggregate(known, text, lambda t, n: F.regexp_replace(t, F.concat(F.lit(shape[0]), n, F.lit(shape[1])), quoted(F.element_at(values, n))))
-    return F.struct(out.alias("text"), F.forall(own, lambda n: F.map_contains_key(values, n)).alias("complete"))
+    pattern = F.lit(SYNTAX[syntax])
+    # The text is cut at its markers and each is looked up once, so a value that holds a marker stays as it is.
+    gaps = F.split(text, SYNTAX[syntax], -1)
+    marks = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("whole"), F.regexp_extract_all(text, pattern, F.lit(1)).alias("name"))
+    done = F.transform(marks, lambda m: F.coalesce(F.try_element_at(values, m["name"]), m["whole"]))
+    out = F.array_join(F.zip_with(gaps, done, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit("")))), "")
+    return F.struct(out.alias("text"), F.forall(names(text, syntax), lambda n: F.map_contains_key(values, n)).alias("complete"))
 
 
 def in_scope(variables: DataFrame, scope: str) -> DataFrame:
@@ -47,6 +48,16 @@ def upsert(held: DataFrame, incoming: DataFrame) -> DataFrame:
     return every.groupBy(*key).agg(best.alias("_b"), F.min("created_at").alias("created_at")).select(*key, "_b.value", "_b.source", "created_at", "_b.updated_at")
 
 
+def unset(held: DataFrame, scope: str | None = None, name: str | None = None, automatic: bool = False) -> DataFrame:
+    """``held`` without the variables of a scope and name; ``automatic`` spares manual ones. At least one must be given."""
+    if scope is None and name is None and not automatic:
+        raise ValueError("name what to unset")
+    gone = F.lit(True)
+    for column, value in (("scope", scope), ("name", name)):
+        gone = gone if value is None else gone & (F.col(column) == value)
+    return held.where(~F.coalesce(gone & (F.col("source") != "manual") if automatic else gone, F.lit(False)))
+
+
 def without_stale(held: DataFrame, seen: DataFrame) -> DataFrame:
     """``held`` without automatic variables that ``seen`` (project_id, scope, name) lacks."""
     key = ["project_id", "scope", "name"]

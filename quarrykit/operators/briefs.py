@@ -12,6 +12,7 @@ from quarrykit.operators.edges import in_degree
 
 # Kinds that are structure, not symbols.
 STRUCTURAL = ("big_parent", "big_subchunk", "module_level", "markdown_section", "yaml_doc", "terraform_config", "locals_block", "helm_values_section", "json_object", "jinja_block")
+# Fixed value: directories that a map shows at most.
 MAX_DIRS = 200
 
 
@@ -54,6 +55,14 @@ def directory_map(files: DataFrame, chunks: DataFrame, edges: DataFrame, depth:
     return counts.join(top, "dir", "left").join(entry, "dir", "left").select("dir", "file_count", "dominant_lang", F.coalesce("top_kinds", F.lit("")).alias("top_kinds"), "entrypoint").orderBy("dir")
 
 
+def capped_map(entries: DataFrame, limit: int = MAX_DIRS) -> DataFrame:
+    """The first ``limit`` directories of a map, each with whether others were left out."""
+    first = entries.orderBy("dir").limit(limit + 1)
+    place = F.row_number().over(Window.orderBy("dir"))  # limit + 1 rows at most
+    flagged = first.withColumn("_n", place).withColumn("truncated", F.max("_n").over(Window.partitionBy()) > limit)
+    return flagged.where(F.col("_n") <= limit).drop("_n")
+
+
 def why(files: DataFrame, chunks: DataFrame, edges: DataFrame, rel_path: str, neighbours: int = 3) -> DataFrame:
     """One row about a file: lang, size, loc, description, top symbols, inbound and outbound neighbours."""
     own = files.where(F.col("rel_path") == rel_path)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import colorsys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.functions import paths
+from quarrykit.functions.store import stored
 from quarrykit.functions.variables import has_markers, substitute
 
 # Candidate files of Python and JavaScript imports, in order.
@@ -14,8 +17,6 @@ JS_EXTENSIONS = (".js", ".jsx", ".ts", ".tsx")
 TF_SYMBOLS = {"tf_var_ref": "var", "tf_local_ref": "local", "tf_module_ref": "module"}
 #: Declarations: they give targets and are no references themselves.
 DECLARATIONS = ("tf_decl", "helm_define")
-#: Below this many rows the visited set of a traversal is broadcast.
-SMALL = 100_000
 
 
 def edge_class() -> Column:
@@ -93,7 +94,7 @@ def manifest_candidates(source: Column, raw: Column, symbol: Column, kind: Colum
         .when(kind == "gha_uses_action", in_dir(rooted, "action.yml", "action.yaml"))
         .when(kind.startswith("kustomize_"), F.when(remote, none).otherwise(F.concat(F.array(near), in_dir(near, "kustomization.yaml", "kustomization.yml"))))
         .when(kind == "argocd_app_source", F.when(has_markers(raw), none).otherwise(F.concat(in_dir(rooted, "Chart.yaml", "kustomization.yaml", "kustomization.yml"), F.array(rooted))))
-        .when(kind == "helm_dependency", F.when(raw.startswith("file://"), in_dir(paths.resolve(source, F.regexp_replace(raw, "^file://", "")), "Chart.yaml")).otherwise(in_dir(paths.resolve(source, F.concat(F.lit("charts/"), symbol)), "Chart.yaml")))
+        .when(kind == "helm_dependency", F.concat(F.when(raw.startswith("file://"), in_dir(paths.resolve(source, F.regexp_replace(raw, "^file://", "")), "Chart.yaml")).otherwise(none), in_dir(paths.resolve(source, F.concat(F.lit("charts/"), symbol)), "Chart.yaml")))
         .when(kind == "dotnet_project_reference", F.array(paths.resolve(source, F.replace(raw, F.lit("\\"), F.lit("/")))))
     )
 
@@ -106,15 +107,15 @@ def ansible_candidates(source: Column, raw: Column, symbol: Column, kind: Column
     return F.when(kind.isin("ansible_include_role", "ansible_import_role", "ansible_role_entry"), role).otherwise(F.array(near))
 
 
-def candidates() -> Column:
-    """Candidate paths of a raw edge (source_rel, lang, kind, raw, symbol) by its kind."""
+def candidates(roles: tuple[str, ...] = ("roles",)) -> Column:
+    """Candidate paths of a raw edge (source_rel, lang, kind, raw, symbol) by its kind; ``roles`` are the role directories."""
     source, raw, symbol, kind = F.col("source_rel"), F.col("raw"), F.col("symbol"), F.col("kind")
     return (
         F.when(kind.isin("import", "from_import", "dynamic_import") & (F.col("lang") == "python"), python_candidates(source, raw, symbol))
         .when(kind.isin("import", "require", "dynamic_import"), js_candidates(source, raw))
-        .when(kind.isin(*TF_SYMBOLS, "helm_include"), F.array().cast("array<string>"))  # by symbol_targets
+        .when(kind.isin(*TF_SYMBOLS, "helm_include", "ansible_module"), F.array().cast("array<string>"))  # by symbol_targets
         .when(kind.startswith("tf_"), terraform_candidates(source, raw, kind))
-        .when(kind.startswith("ansible_"), ansible_candidates(source, raw, symbol, kind))
+        .when(kind.startswith("ansible_"), ansible_candidates(source, raw, symbol, kind, roles))
         .otherwise(manifest_candidates(source, raw, symbol, kind))
     )
 
@@ -148,23 +149,73 @@ def symbol_targets(edges: DataFrame, files: DataFrame) -> DataFrame:
     return refs.join(declared, ["project_id", "helm", "scope", "name"]).select("project_id", "edge_id", "declared_in")
 
 
-def resolve(edges: DataFrame, files: DataFrame, variables: Column | None = None, syntax: str = "jinja") -> DataFrame:
-    """Raw edges with their targets; templated ones get their variables first, if all are known.
+def module_dirs(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(project_id, edge_id, first_tf) of Terraform modules: the first .tf file of the module's directory."""
+    raw = F.col("raw")
+    local = edges.where((F.col("kind") == "tf_module") & raw.rlike(r"^[./]|^\$\{path\.(module|root)\}/"))
+    here = F.regexp_replace(F.regexp_replace(raw, r"^\$\{path\.module\}/", "./"), r"^\$\{path\.root\}/", "/")
+    asked = local.select("project_id", "edge_id", paths.resolve(F.col("source_rel"), here).alias("dir"))
+    first = files.where(F.col("rel_path").endswith(".tf")).groupBy("project_id", paths.dir_name(F.col("rel_path")).alias("dir")).agg(F.min_by("file_id", "rel_path").alias("first_tf"))
+    return asked.join(first, ["project_id", "dir"]).select("project_id", "edge_id", "first_tf")
+
+
+def module_files(edges: DataFrame, files: DataFrame, libraries: tuple[str, ...] = ("library",)) -> DataFrame:
+    """(project_id, edge_id, module_file) of Ansible modules: the file of that name in a library directory; of several the last path counts."""
+    path = F.col("rel_path")
+    inside = F.lit(False)
+    for d in libraries:
+        inside = inside | path.startswith(f"{d}/") | F.contains(path, F.lit(f"/{d}/"))
+    own = files.where(inside & path.endswith(".py")).groupBy("project_id", F.regexp_replace(paths.base_name(path), r"\.py$", "").alias("raw")).agg(F.max_by("file_id", "rel_path").alias("module_file"))
+    return edges.where("kind = 'ansible_module'").select("project_id", "edge_id", "raw").join(own, ["project_id", "raw"]).select("project_id", "edge_id", "module_file")
+
+
+def _filled(column: str, values: Column) -> Column:
+    """A templated column with its variables, in the syntax of the edge's kind; null if one is unknown."""
+    whole = F.coalesce(F.col(column), F.lit(""))
+    done = F.when(F.col("kind").startswith("tf_"), substitute(whole, values, "terraform")).otherwise(substitute(whole, values, "jinja"))
+    return F.when(F.col(column).isNull() | ~has_markers(whole), F.col(column)).otherwise(F.when(done["complete"], done["text"]))
+
+
+def resolve(edges: DataFrame, files: DataFrame, variables: Column | None = None, roles: tuple[str, ...] = ("roles",), libraries: tuple[str, ...] = ("library",)) -> DataFrame:
+    """Raw edges with their targets; templated ones get their variables first, if all of raw and symbol are known.
 
     Always against all files, so an update gives what a rebuild gives.
-    Declarations (``DECLARATIONS``) are used as targets and left out.
+    Declarations (``DECLARATIONS``) are used as targets and left out, as are
+    Ansible modules that no library directory holds. ``variables`` is a map of
+    names to values.
     """
-    def matched(edges: DataFrame) -> DataFrame:
-        out = first_match(edges.where(~F.col("kind").isin(*DECLARATIONS)), files, candidates())
-        out = out.join(symbol_targets(edges, files), ["project_id", "edge_id"], "left")
-        return out.withColumn("target_file_id", F.coalesce("target_file_id", "declared_in")).drop("declared_in")
-
+    asked = edges
     if variables is not None:
-        done = substitute(F.col("raw"), variables, syntax)
-        templated = has_markers(F.col("raw"))
-        edges = edges.withColumn("_done", F.when(templated, done)).withColumn("_raw", F.col("raw")).withColumn("raw", F.when(templated & F.col("_done.complete"), F.col("_done.text")).otherwise(F.col("raw")))
-        return matched(edges).withColumn("raw", F.col("_raw")).drop("_raw", "_done")
-    return matched(edges)
+        raw, symbol = _filled("raw", variables), _filled("symbol", variables)
+        full = (raw.isNotNull() | F.col("raw").isNull()) & (symbol.isNotNull() | F.col("symbol").isNull())
+        asked = edges.withColumns({"_raw": F.col("raw"), "_symbol": F.col("symbol"), "raw": F.when(full, raw).otherwise(F.col("raw")), "symbol": F.when(full, symbol).otherwise(F.col("symbol"))})
+    out = first_match(asked.where(~F.col("kind").isin(*DECLARATIONS)), files, candidates(roles))
+    for more in (symbol_targets(asked, files), module_dirs(asked, files), module_files(asked, files, libraries)):
+        name = more.columns[-1]
+        out = out.join(more, ["project_id", "edge_id"], "left").withColumn("target_file_id", F.coalesce("target_file_id", name)).drop(name)
+    out = out.where((F.col("kind") != "ansible_module") | F.col("target_file_id").isNotNull())
+    return out if variables is None else out.withColumns({"raw": F.col("_raw"), "symbol": F.col("_symbol")}).drop("_raw", "_symbol")
+
+
+def reresolved(edges: DataFrame, files: DataFrame, variables: Column) -> tuple[DataFrame, DataFrame]:
+    """(edges with new targets, counts) after a change of variables: only templated edges are touched.
+
+    ``counts`` is one row: updated (targets that changed) and still_parametric
+    (templated edges without one).
+    """
+    templated = has_markers(F.coalesce("raw", F.lit(""))) | has_markers(F.coalesce("symbol", F.lit("")))
+    before = edges.where(templated)
+    after = resolve(before.drop("target_file_id"), files, variables)
+    both = before.select("project_id", "edge_id", F.col("target_file_id").alias("was")).join(after.select("project_id", "edge_id", "target_file_id"), ["project_id", "edge_id"])
+    counts = both.agg(F.count_if(~F.col("was").eqNullSafe(F.col("target_file_id"))).alias("updated"), F.count_if(F.col("target_file_id").isNull()).alias("still_parametric"))
+    return edges.where(~templated).unionByName(after.select(*edges.columns)), counts
+
+
+def listed(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges with source_rel and target_rel, null for those without a target."""
+    source = files.select(F.col("file_id").alias("source_file_id"), F.col("rel_path").alias("source_rel"))
+    target = files.select(F.col("file_id").alias("target_file_id"), F.col("rel_path").alias("target_rel"))
+    return edges.drop("source_rel").join(source, "source_file_id").join(target, "target_file_id", "left")
 
 
 def nearest_chart(files: DataFrame) -> DataFrame:
@@ -177,8 +228,9 @@ def nearest_chart(files: DataFrame) -> DataFrame:
 def traverse(edges: DataFrame, start: DataFrame, depth: int, reverse: bool = False, kinds: list[str] | None = None) -> DataFrame:
     """(file_id, hops): files reached from ``start`` (file_id) in up to ``depth`` hops, the start at 0.
 
-    Each level joins the frontier with the edges and drops what was seen; edges
-    outside ``kinds`` are not followed.
+    Each level joins the frontier with the edges, drops what was seen and is
+    stored, so the plan of a level doesn't hold those before it; edges outside
+    ``kinds`` are not followed. Ends early when a level finds nothing.
     """
     near, far = ("target_file_id", "source_file_id") if reverse else ("source_file_id", "target_file_id")
     own = edges.where("target_file_id is not null")
@@ -186,16 +238,79 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int, reverse: bool = Fal
         own = own.where(F.col("kind").isin(kinds))
     step = own.select(F.col(near).alias("file_id"), F.col(far).alias("to")).distinct()
     seen = start.select("file_id", F.lit(0).alias("hops")).distinct()
+    if depth > 1:
+        step, seen = stored(step), stored(seen)
     frontier = seen
     for hop in range(1, depth + 1):
         frontier = frontier.select("file_id").join(step, "file_id").select(F.col("to").alias("file_id")).distinct().join(seen.select("file_id"), "file_id", "left_anti").withColumn("hops", F.lit(hop))
+        if hop < depth:
+            frontier = stored(frontier)
+            if frontier.isEmpty():
+                break
         seen = seen.unionByName(frontier)
     return seen
 
 
+def relations(edges: DataFrame, files: DataFrame, rel_path: str, depth: int = 1, kinds: list[str] | None = None, siblings: int = 50) -> DataFrame:
+    """(direction, hop, source_rel, kind, raw, target_rel) around a file; files of its directory if it has no edges.
+
+    Edges without a target are reported, not followed; ``kinds`` holds for both.
+    """
+    own = edges if not kinds else edges.where(F.col("kind").isin(kinds))
+    start = files.where(F.col("rel_path") == rel_path).select("file_id")
+    found = None
+    for direction, near in (("forward", "source_file_id"), ("reverse", "target_file_id")):
+        reached = traverse(own, start, depth - 1, direction == "reverse").select(F.col("file_id").alias(near), F.col("hops"))
+        part = listed(own.join(reached, near), files).select(F.lit(direction).alias("direction"), (F.col("hops") + 1).alias("hop"), "source_rel", "kind", "raw", "target_rel")
+        found = part if found is None else found.unionByName(part)
+    found = found.distinct()
+    here = F.lit(rel_path)
+    near_by = files.where((paths.dir_name(F.col("rel_path")) == paths.dir_name(here)) & (F.col("rel_path") != here)).orderBy("rel_path").limit(siblings)
+    near_by = near_by.select(F.lit("sibling").alias("direction"), F.lit(0).alias("hop"), here.alias("source_rel"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("raw"), F.col("rel_path").alias("target_rel"))
+    some = F.broadcast(found.limit(1).select(F.lit(True).alias("_some")))  # one row
+    return found.unionByName(near_by.join(some, F.col("_some"), "left_anti"))
+
+
 def graph_nodes(edges: DataFrame, files: DataFrame) -> DataFrame:
     """(node_key, label, node_group, shape): files with edges and one synthetic node per class and raw text of edges without target."""
     loose = edges.where("target_file_id is null").select(F.concat_ws(":", edge_class(), F.coalesce("raw", F.lit(""))).alias("node_key"), F.col("raw").alias("label"), edge_class().alias("node_group"), F.lit("diamond").alias("shape")).distinct()
     used = edges.select(F.col("source_file_id").alias("file_id")).union(edges.where("target_file_id is not null").select("target_file_id")).distinct()
     known = files.join(used, "file_id", "left_semi").select(F.concat(F.lit("file:"), F.col("file_id").cast("string")).alias("node_key"), F.col("rel_path").alias("label"), paths.top_group(F.col("rel_path")).alias("node_group"), F.lit("dot").alias("shape"))
     return known.unionByName(loose)
+
+
+def _node_key(side: str) -> Column:
+    """The key of an edge's end: its file, or for a missing target the class and raw text."""
+    file = F.concat(F.lit("file:"), F.col(side).cast("string"))
+    return file if side == "source_file_id" else F.coalesce(file, F.concat_ws(":", edge_class(), F.coalesce("raw", F.lit(""))))
+
+
+def graph_edges(edges: DataFrame) -> DataFrame:
+    """(source_key, target_key, kind, n): one line per pair of nodes and kind."""
+    return edges.groupBy(_node_key("source_file_id").alias("source_key"), _node_key("target_file_id").alias("target_key"), "kind").agg(F.count("*").alias("n"))
+
+
+def graph(edges: DataFrame, files: DataFrame, orphans: bool = False) -> DataFrame:
+    """:func:`graph_nodes` with files without edges: all of them, or only those of CI pipelines, which always show."""
+    known = graph_nodes(edges, files)
+    rest = files.select(F.concat(F.lit("file:"), F.col("file_id").cast("string")).alias("node_key"), F.col("rel_path").alias("label"), paths.top_group(F.col("rel_path")).alias("node_group"), F.lit("dot").alias("shape"))
+    rest = rest if orphans else rest.where(paths.is_cicd(F.col("label")))
+    return known.unionByName(rest.join(known.select("node_key"), "node_key", "left_anti"))
+
+
+# Colours of the groups that are no directories, first hue, step, lightness and saturation of the others.
+NEUTRAL = {"external": "#cccccc", "parametric": "#e5c07b", "unresolved": "#e06c75"}
+FIRST_HUE, HUE_STEP, LIGHTNESS, SATURATION = 0.08, 0.6180339887498949, 0.55, 0.65
+
+
+def palette(nodes: DataFrame) -> DataFrame:
+    """(node_group, colour): groups in order walk round the hues by the golden ratio; those of loose edges stay neutral."""
+    names = sorted(r[0] for r in nodes.select("node_group").where("node_group is not null").distinct().collect())  # first path parts
+
+    def colour(i: int) -> str:
+        rgb = colorsys.hls_to_rgb((FIRST_HUE + i * HUE_STEP) % 1.0, LIGHTNESS, SATURATION)
+        return "#" + "".join(f"{int(c * 255):02x}" for c in rgb)
+
+    plain = [n for n in names if n not in NEUTRAL]
+    rows = [(n, NEUTRAL[n] if n in NEUTRAL else colour(plain.index(n))) for n in names]
+    return nodes.sparkSession.createDataFrame(rows, "node_group string, colour string")

@@ -27,6 +27,27 @@ def chunk_reuse(old: DataFrame, new: DataFrame) -> DataFrame:
     return counted(old, "old_chunk_id", True).join(counted(new, "new_chunk_id", False), ["file_id", "content_hash", "nth"], "full_outer").drop("nth")
 
 
+def update(held_files: DataFrame, held_chunks: DataFrame, files: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, chunks, states) after an update: what a rebuild gives, but equal chunks keep their ids.
+
+    ``files`` and ``chunks`` are the walk of today with ids that are the same
+    on every run. Files are told apart by content_hash; those unchanged keep
+    their row and take the new mtime. Chunks of new or changed files that equal
+    an old one of the file take its id (and so its vector), others get one of
+    their own, as theirs may be an old chunk's; ``states`` has each path's state, and the chunks' column ``fresh`` says what must be embedded.
+    """
+    states = file_diff(held_files, files)
+    same = states.where("state = 'unchanged'").select("rel_path")
+    kept = updated(held_files.join(same, "rel_path", "left_semi"), files.select("rel_path", "mtime"), ["rel_path"])
+    out_files = kept.unionByName(files.join(same, "rel_path", "left_anti").select(*held_files.columns))
+    still = kept.select("file_id")
+    old, new = held_chunks.join(still, "file_id", "left_anti"), chunks.join(still, "file_id", "left_anti")
+    pairs = chunk_reuse(old, new).where("old_chunk_id is not null and new_chunk_id is not null").select(F.col("new_chunk_id").alias("chunk_id"), "old_chunk_id")
+    matched = new.join(pairs, "chunk_id", "left").withColumn("fresh", F.col("old_chunk_id").isNull()).withColumn("chunk_id", F.coalesce("old_chunk_id", F.xxhash64("file_id", "content_hash", "chunk_id")))
+    out_chunks = held_chunks.join(still, "file_id", "left_semi").withColumn("fresh", F.lit(False)).unionByName(matched.select(*held_chunks.columns, "fresh"))
+    return out_files, out_chunks, states
+
+
 def updated(held: DataFrame, values: DataFrame, key: list[str]) -> DataFrame:
     """``held`` with the non-null columns of ``values`` put in by key."""
     extra = [c for c in values.columns if c not in key]

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrykit.functions.text import TERM
+from quarrykit.functions.store import stored
+from quarrykit.functions.text import TERM, decompress
 
 # Fusion constant, over-fetch, boosts and budget.
 RRF_K, OVERFETCH, LEAST_FETCH = 60, 3, 30
@@ -47,22 +48,21 @@ def knn(vectors: DataFrame, query: list[float] | DataFrame, k: int = 10, metric:
     return rows.withColumn("distance", F.round(distance(F.col("embedding"), F.col("_query"), metric), 6)).drop("_query").orderBy("distance", "chunk_id").limit(k)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, length) of stored_text, aggregated within each chunk without a shuffle."""
-    words = F.regexp_extract_all(F.lower(F.coalesce("stored_text", F.lit(""))), F.lit(TERM), F.lit(0))
-    split = chunks.select("chunk_id", words.alias("words"))
-    return split.select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
-
-
 def bm25(chunks: DataFrame, terms: list[str], k: int = 10) -> DataFrame:
     """(chunk_id, score): chunks with any of the terms, by BM25 over stored_text.
 
-    One pass counts the query terms inside each chunk; only those counts are
-    aggregated, so no posting of another term is built or shuffled.
+    One pass over the texts counts words and query terms inside each chunk and
+    stores those few numbers; statistics and scores read them, so no text is
+    read or split again and no posting of another term is built or shuffled.
     """
     terms = sorted({t.lower() for t in terms})
-    words = F.regexp_extract_all(F.lower(F.coalesce("stored_text", F.lit(""))), F.lit(TERM), F.lit(0))
-    counted = chunks.select("chunk_id", words.alias("w")).select("chunk_id", F.size("w").alias("length"), *(F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
+    low = F.lower(F.coalesce("stored_text", F.lit("")))
+
+    def tf(term: str) -> Column:
+        hits = F.regexp_count(F.col("t"), F.lit(rf"(?<![a-z0-9_A-Z]){re.escape(term)}(?![a-z0-9_A-Z])"))
+        return F.when(F.contains("t", F.lit(term)), hits).otherwise(0)
+
+    counted = stored(chunks.select("chunk_id", low.alias("t")).select("chunk_id", F.regexp_count("t", F.lit(TERM)).alias("length"), *(tf(t).alias(f"tf{i}") for i, t in enumerate(terms))))
     corpus = counted.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     scored = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").crossJoin(F.broadcast(corpus))  # one row
     total = F.lit(0.0)
@@ -73,10 +73,6 @@ def bm25(chunks: DataFrame, terms: list[str], k: int = 10) -> DataFrame:
     return scored.select("chunk_id", F.round(total, 6).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
-def _is(term: str):
-    return lambda w: w == term
-
-
 _LEX = re.compile(r'\s*(?:(\()|(\))|"([^"]*)"(\*?)|((?:[A-Za-z_]+:)?[A-Za-z0-9_]+)(\*?)|\S)')
 
 
@@ -100,37 +96,46 @@ def predicate(query: str, columns: tuple[str, ...] = ("name", "qualified_name",
             body, star, where = name.lower(), m[6], (column,) if column in columns else columns
         return test(f"(?<![a-z0-9_]){body}" + ("" if star else "(?![a-z0-9_])"), where)
 
-    def unit() -> Column:
+    # An operator without its operand asks nothing: None, which the others leave out.
+    def unit() -> Column | None:
         nonlocal at
         m = tokens[at]
         at += 1
         if m[5] == "NOT":
-            return ~unit()
+            inner = unit() if at < len(tokens) and not tokens[at][2] else None
+            return None if inner is None else ~inner
         if m[1]:
             out = either()
             at += 1  # the closing parenthesis
             return out
-        return word(m) if m[3] is not None or m[5] else F.lit(True)
+        return word(m) if re.search("[A-Za-z0-9_]", m[3] if m[3] is not None else m[5] or "") else None
 
-    def both() -> Column:
+    def both() -> Column | None:
         nonlocal at
-        out = unit()
+        out = None
         while at < len(tokens) and not tokens[at][2] and tokens[at][5] != "OR":
             if tokens[at][5] == "AND":
                 at += 1
                 continue
-            out = out & unit()
+            part = unit()
+            out = part if out is None else out if part is None else out & part
         return out
 
-    def either() -> Column:
+    def either() -> Column | None:
         nonlocal at
         out = both()
         while at < len(tokens) and tokens[at][5] == "OR":
             at += 1
-            out = out | both()
+            part = both()
+            out = part if out is None else out if part is None else out | part
         return out
 
-    return either() if tokens else F.lit(False)
+    asked = None
+    while at < len(tokens):
+        part = either()
+        asked = part if asked is None else asked if part is None else asked & part
+        at += 1  # a closing parenthesis that nothing opened
+    return F.lit(False) if asked is None else asked
 
 
 def grep(chunks: DataFrame, query: str, k: int = 10) -> DataFrame:
@@ -141,6 +146,40 @@ def grep(chunks: DataFrame, query: str, k: int = 10) -> DataFrame:
     return held.select("chunk_id").join(ranked, "chunk_id", "left").select("chunk_id", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
+def scoped(rows: DataFrame, files: DataFrame, project: int | None = None, kind: str | None = None, lang: str | None = None) -> DataFrame:
+    """``rows`` (file_id, kind, …) of one project, chunk kind and file language; a None asks nothing. Applied before any ranking."""
+    if kind is not None:
+        rows = rows.where(F.col("kind") == kind)
+    if project is None and lang is None:
+        return rows
+    held = files
+    for column, value in (("project_id", project), ("lang", lang)):
+        held = held if value is None else held.where(F.col(column) == value)
+    return rows.join(held.select("file_id"), "file_id", "left_semi")
+
+
+def family(chunks: DataFrame, chunk_id: int) -> DataFrame:
+    """A split chunk's parent and parts in order, from any of them; an ordinary chunk alone."""
+    asked = chunks.where(F.col("chunk_id") == chunk_id).select(F.when((F.col("kind") == "big_subchunk") & F.col("parent_id").isNotNull(), F.col("parent_id")).otherwise(F.col("chunk_id")).alias("_root"))
+    own = chunks.join(F.broadcast(asked.limit(1)), (F.col("chunk_id") == F.col("_root")) | (F.col("parent_id") == F.col("_root")))
+    order = F.when(F.col("chunk_id") == F.col("_root"), -1).otherwise(F.col("sibling_order"))
+    return own.withColumn("place", order.cast("int")).drop("_root").orderBy("place", "chunk_id")
+
+
+def citations(hits: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """(chunk_id, citation, body) of hits: ``path:first-last name`` and the chunk as JSON, its blanks restored."""
+    where = F.concat_ws(" ", F.concat(F.col("rel_path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")), F.coalesce("qualified_name", "name"))
+    named = hits.select("chunk_id").join(chunks, "chunk_id").join(files.select("file_id", "rel_path"), "file_id")
+    return named.select("chunk_id", where.alias("citation"), F.to_json(F.struct("rel_path", "start_line", "end_line", "kind", decompress(F.col("stored_text")).alias("text"))).alias("body"))
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """The embedding sink: (chunk_id, embedding) as arrays of float, one file set per project if there is one."""
+    out = vectors.select(*[c for c in ("project_id",) if c in vectors.columns], "chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (writer.partitionBy("project_id") if "project_id" in out.columns else writer).parquet(path)
+
+
 def ranked(hits: DataFrame, order: list[Column]) -> DataFrame:
     """(chunk_id, rank) of a short result list, from 1."""
     return hits.select("chunk_id", F.row_number().over(Window.orderBy(*order)).alias("rank"))

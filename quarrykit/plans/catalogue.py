@@ -55,10 +55,9 @@ def scrub_text(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.scrub(_seeded()), 256).alias("scrubbed"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(text, '\b(token[ \t\n\r\f\v]*=[ \t\n\r\f\v]*)"[^"]*"', '\1"CHANGE_ME"', 'g') AS masked FROM documents WHERE contains(text, 'token = "')""")
+@query(r"""SELECT doc_id, regexp_replace(text, '\b(token[ \t\n\r\f\v]*=[ \t\n\r\f\v]*)"[^"]*"', '\1"CHANGE_ME"', 'g') AS masked FROM documents""")
 def scrub_key_values(spark, sf_dir):
-    d = A.table(spark, sf_dir, "documents").where(F.contains("text", F.lit('token = "')))
-    return d.select("doc_id", text.scrub_assignments(F.col("text")).alias("masked"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", text.scrub_assignments(F.col("text")).alias("masked"))
 
 
 @query("""SELECT key, replace(lower(key), '-', '_') SIMILAR TO '.*(password|passwd|secret|token|api_key|apikey|private_key|priv_key|role_id).*' AS sensitive
@@ -130,13 +129,13 @@ _RAW = "('/x/./y'), ('../u/v.py'), ('../../../z'), ('./w//q/../r'), ('k')"
 
 
 @query(f"""WITH RECURSIVE p AS (SELECT rel_path, raw, string_split(CASE WHEN starts_with(raw, '/') THEN raw ELSE regexp_replace(rel_path, '/?[^/]*$', '') || '/' || raw END, '/') AS parts
-FROM (SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.md' AS rel_path FROM documents WHERE lang = 'es') d, (VALUES {_RAW}) v(raw)),
+FROM (SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.md' AS rel_path FROM documents) d, (VALUES {_RAW}) v(raw)),
 w AS (SELECT rel_path, raw, parts, 1 AS i, CAST([] AS VARCHAR[]) AS kept, false AS bad FROM p
 UNION ALL SELECT rel_path, raw, parts, i + 1, CASE WHEN parts[i] IN ('', '.') THEN kept WHEN parts[i] = '..' THEN kept[1:len(kept) - 1] ELSE list_append(kept, parts[i]) END, bad OR (parts[i] = '..' AND len(kept) = 0) FROM w WHERE i <= len(parts))
 SELECT rel_path, raw, CASE WHEN NOT bad THEN array_to_string(kept, '/') END AS target FROM w WHERE i = len(parts) + 1""")
 def resolve_relative(spark, sf_dir):
     raws = spark.createDataFrame([("/x/./y",), ("../u/v.py",), ("../../../z",), ("./w//q/../r",), ("k",)], "raw string")
-    f = A.files(spark, sf_dir).where("lang = 'es'").select("rel_path").crossJoin(F.broadcast(raws))
+    f = A.files(spark, sf_dir).select("rel_path").crossJoin(F.broadcast(raws))
     return f.select("rel_path", "raw", paths.resolve(F.col("rel_path"), F.col("raw")).alias("target"))
 
 
@@ -183,22 +182,22 @@ def edge_resolve_candidates(spark, sf_dir):
 
 
 _START = 100
-_BFS = """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 500 AS s, l_partkey % 500 AS t FROM lineitem WHERE l_returnflag <> 'N'),
-w AS (SELECT 100 AS file_id, 0 AS hops UNION SELECT {far}, hops + 1 FROM w JOIN e ON {near} = file_id WHERE hops < 2) SELECT CAST(file_id AS BIGINT) AS file_id, min(hops) AS hops FROM w GROUP BY 1"""
+_BFS = """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS t FROM lineitem),
+w AS (SELECT 100 AS file_id, 0 AS hops UNION SELECT {far}, hops + 1 FROM w JOIN e ON {near} = file_id WHERE hops < 3) SELECT CAST(file_id AS BIGINT) AS file_id, min(hops) AS hops FROM w GROUP BY 1"""
 
 
-def _folded(spark, sf_dir):
-    return A.table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select((F.col("l_orderkey") % 500).alias("source_file_id"), (F.col("l_partkey") % 500).alias("target_file_id"), F.lit("import").alias("kind"))
+def _every_edge(spark, sf_dir):
+    return A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("source_file_id"), F.col("l_partkey").cast("long").alias("target_file_id"), F.lit("import").alias("kind"))
 
 
 @query(_BFS.format(near="s", far="t"))
 def relations_forward(spark, sf_dir):
-    return edges.traverse(_folded(spark, sf_dir), spark.createDataFrame([(_START,)], "file_id long"), 2)
+    return edges.traverse(_every_edge(spark, sf_dir), spark.createDataFrame([(_START,)], "file_id long"), 3)
 
 
 @query(_BFS.format(near="t", far="s"))
 def relations_reverse(spark, sf_dir):
-    return edges.traverse(_folded(spark, sf_dir), spark.createDataFrame([(_START,)], "file_id long"), 2, reverse=True)
+    return edges.traverse(_every_edge(spark, sf_dir), spark.createDataFrame([(_START,)], "file_id long"), 3, reverse=True)
 
 
 @query(f"""WITH {A.EDGES_SQL}, {A.PARTS_SQL}, e AS (SELECT *, CASE WHEN target_file_id IS NOT NULL THEN 'resolved' WHEN raw LIKE '%{{{{%' THEN 'parametric' WHEN kind = 'unresolved' THEN 'unresolved' ELSE 'external' END AS cls FROM edges)
@@ -513,33 +512,31 @@ def staged_jsonl_validate(spark, sf_dir):
     return parsed.select("event_id", F.col("tags").cast("long").alias("k"), "ok")
 
 
-_PAIRS = "p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 200 AND b.vec_id < 200)"
-
-
-def _pairs(spark, sf_dir):
-    # The first hundred-odd entries of the log, as its reader takes them.
-    v = A.table(spark, sf_dir, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return memory.pair_similarities(v, "label")
+def _labelled(spark, sf_dir):
+    return A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-@query(f"WITH {_PAIRS} SELECT label, round(avg(similarity), 6) AS cohesion, bool_or(similarity > 0.97) AS near_equal FROM p GROUP BY 1")
+@query("""WITH p AS (SELECT a.label, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
+SELECT label, round(avg(similarity), 4) AS cohesion, bool_or(similarity > 0.97) AS near_equal FROM p GROUP BY 1""")
 def cohesion(spark, sf_dir):
-    return memory.cohesion(_pairs(spark, sf_dir), "label")
+    return memory.cohesion_by_blocks(_labelled(spark, sf_dir), "label").withColumn("cohesion", F.round("cohesion", 4))
 
 
-@query("""WITH c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT vec_id AS decision_id, embedding::DOUBLE[] AS y FROM embeddings WHERE vec_id % 7 = 3 AND vec_id < 140), s AS (SELECT id, decision_id, round(list_inner_product(x, y), 6) AS s FROM c, d)
-SELECT id, (list(decision_id ORDER BY s DESC, decision_id))[1] AS decision_id, max(s) AS similarity, max(s) >= 0.68 AS covered FROM s GROUP BY 1""")
+@query("""WITH m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2),
+c AS (SELECT label AS id, list(x ORDER BY i) AS x FROM m GROUP BY 1), s AS (SELECT id, vec_id AS decision_id, list_inner_product(x, embedding::DOUBLE[]) AS s FROM c, embeddings)
+SELECT id, (list(decision_id ORDER BY s DESC, decision_id))[1] AS decision_id, round(max(s), 4) AS similarity, max(s) >= 0.68 AS covered FROM s GROUP BY 1""")
 def coverage_gap(spark, sf_dir):
-    v = A.table(spark, sf_dir, "embeddings")
-    return memory.coverage(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), "embedding"), v.where("vec_id % 7 = 3 and vec_id < 140").select(F.col("vec_id").alias("decision_id"), "embedding"))
+    v = _labelled(spark, sf_dir)
+    centres = memory.mean_vectors(v, "label").withColumnRenamed("label", "id")
+    return memory.coverage(centres, v.select(F.col("id").alias("decision_id"), "embedding")).withColumn("similarity", F.round("similarity", 4))
 
 
 _STOP = ", ".join(f"'{w}'" for w in memory.STOPWORDS)
 
 
-@query(f"""WITH e AS (SELECT source, doc_id, text FROM documents), w AS (SELECT DISTINCT source, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{{3,}}')) AS word FROM e), c AS (SELECT source, word, count(*) AS c FROM w WHERE word NOT IN ({_STOP}) GROUP BY 1, 2),
+@query(f"""WITH e AS (SELECT source, doc_id, text FROM documents), w AS (SELECT DISTINCT source, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS word FROM e), c AS (SELECT source, word, count(*) AS c FROM w WHERE word NOT IN ({_STOP}) GROUP BY 1, 2),
 n AS (SELECT source, count(*) AS n, arg_min(text, doc_id)[1:60] AS head FROM e GROUP BY 1), t AS (SELECT c.source, (list(word ORDER BY c DESC, word DESC))[1] AS word FROM c JOIN n ON n.source = c.source WHERE c >= 0.6 * n GROUP BY 1)
-SELECT n.source, coalesce(word, head) AS topic FROM n LEFT JOIN t ON t.source = n.source""")
+SELECT n.source, coalesce(word, trim(head)) AS topic FROM n LEFT JOIN t ON t.source = n.source""")
 def suggest_topic(spark, sf_dir):
     d = A.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.col("text").alias("summary"))
     return memory.suggest_topic(d, "source")
@@ -550,50 +547,6 @@ def theme_clusters(spark, sf_dir):
     return memory.clusters(_labelled(spark, sf_dir), "label", 0.3)
 
 
-# Queries above whose SQL reads a part of a table, over the whole of it; tests hold them against brute force.
-
-
-def _labelled(spark, sf_dir):
-    return A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-
-
-@query()
-def cohesion_whole(spark, sf_dir):
-    return memory.cohesion_by_blocks(_labelled(spark, sf_dir), "label")
-
-
-@query()
-def coverage_gap_whole(spark, sf_dir):
-    v = _labelled(spark, sf_dir)
-    return memory.coverage(memory.mean_vectors(v, "label").withColumnRenamed("label", "id"), v.select(F.col("id").alias("decision_id"), "embedding"))
-
-
-@query()
-def resolve_relative_whole(spark, sf_dir):
-    raws = spark.createDataFrame([("/x/./y",), ("../u/v.py",), ("../../../z",), ("./w//q/../r",), ("k",)], "raw string")
-    f = A.files(spark, sf_dir).select("rel_path").crossJoin(F.broadcast(raws))
-    return f.select("rel_path", "raw", paths.resolve(F.col("rel_path"), F.col("raw")).alias("target"))
-
-
-def _every_edge(spark, sf_dir):
-    return A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("source_file_id"), F.col("l_partkey").cast("long").alias("target_file_id"), F.lit("import").alias("kind"))
-
-
-@query()
-def relations_forward_whole(spark, sf_dir):
-    return edges.traverse(_every_edge(spark, sf_dir), spark.createDataFrame([(_START,)], "file_id long"), 2)
-
-
-@query()
-def relations_reverse_whole(spark, sf_dir):
-    return edges.traverse(_every_edge(spark, sf_dir), spark.createDataFrame([(_START,)], "file_id long"), 2, reverse=True)
-
-
-@query()
-def scrub_key_values_whole(spark, sf_dir):
-    return A.table(spark, sf_dir, "documents").select("doc_id", text.scrub_assignments(F.col("text")).alias("masked"))
-
-
 # Windows over the event log.
 
 
@@ -608,6 +561,9 @@ def tumbling_windows(spark, sf_dir):
     return windows.tumbling(A.table(spark, sf_dir, "events"), "1 hour")
 
 
+from quarrykit.plans import sources_catalogue  # noqa: E402, F401  registers its queries
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search: both channels, fused, reranked, cut."""
     return hybrid_ask(spark, sf_dir)

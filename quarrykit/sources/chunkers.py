@@ -29,11 +29,15 @@ def _sections(files: DataFrame, heading: str, kind: str, name: Column, preamble:
     starts = F.when(opening, F.concat(F.array(F.lit(1)), F.col("marks"))).otherwise(F.col("marks"))
     df = files.select("file_id", lines.alias("lines")).withColumn("marks", marks)
     df = df.withColumn("starts", starts).withColumn("first", F.when(opening, 0).otherwise(1))
-    df = df.select("*", F.posexplode("starts").alias("pos", "start_line"))
-    end = F.coalesce(F.get(F.col("starts"), F.col("pos") + 1) - 1, F.size("lines"))
-    df = df.withColumn("end_line", end).withColumn("head", F.element_at("lines", F.col("start_line")))
-    text = F.array_join(F.slice(F.col("lines"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    return df.select("file_id", (F.col("pos") + F.col("first")).alias("ord"), F.lit(kind).alias("kind"), name.alias("name"), name.alias("qualified_name"), "start_line", "end_line", text.alias("text"))
+
+    def sections(x: Column) -> Column:
+        """The slices of a row; only they leave it, so no section carries all lines."""
+        end = lambda i: F.coalesce(F.get(x["starts"], i + 1) - 1, F.size(x["lines"]))
+        return F.transform(x["starts"], lambda s, i: F.struct(s.alias("start_line"), end(i).alias("end_line"), F.element_at(x["lines"], s).alias("head"), F.array_join(F.slice(x["lines"], s, end(i) - s + 1), "\n").alias("text")))
+
+    cut = F.get(F.transform(F.array(F.struct("lines", "starts")), sections), F.lit(0))
+    df = df.select("file_id", "first", F.posexplode(cut).alias("pos", "s")).select("file_id", "first", "pos", "s.*")
+    return df.select("file_id", (F.col("pos") + F.col("first")).alias("ord"), F.lit(kind).alias("kind"), name.alias("name"), name.alias("qualified_name"), "start_line", "end_line", "text")
 
 
 def markdown(files: DataFrame) -> DataFrame:

@@ -31,11 +31,12 @@ def _by_line(files: DataFrame, pattern: str, kind: Column | str, group: int = 1)
 
 
 def javascript(files: DataFrame) -> DataFrame:
-    """import … from, require() and import() of literal paths."""
+    """import … from, require() and import() of literal paths; those of other expressions are unresolved."""
     static = _by_line(files, r"""^\s*(?:import|export)\b(?:[^'"(]*\bfrom)?\s*['"]([^'"]+)['"]""", "import")
     required = _by_line(files, r"""\brequire\(\s*['"]([^'"]+)['"]\s*\)""", "require")
     dynamic = _by_line(files, r"""\bimport\(\s*['"]([^'"]+)['"]\s*\)""", "dynamic_import")
-    return static.unionByName(required).unionByName(dynamic)
+    loose = _by_line(files, r"""\b(?:require|import)\(\s*([^'"\s)][^)]*)\)""", "unresolved")
+    return static.unionByName(required).unionByName(dynamic).unionByName(loose)
 
 
 def msbuild(files: DataFrame) -> DataFrame:
@@ -124,6 +125,36 @@ def _scalars(node) -> list:
 _ANSIBLE = {"import_playbook": "ansible_import_playbook", "include_tasks": "ansible_include_tasks", "import_tasks": "ansible_import_tasks", "include_role": "ansible_include_role", "import_role": "ansible_import_role", "include_vars": "ansible_include_vars", "vars_files": "ansible_vars_file"}
 
 
+# Keys of a task or block that are no modules.
+_TASK_KEYS = frozenset((
+    "name", "when", "tags", "register", "vars", "loop", "loop_control", "with_items", "with_dict", "with_fileglob", "become", "become_user",
+    "become_method", "notify", "listen", "delegate_to", "run_once", "ignore_errors", "changed_when", "failed_when", "until", "retries", "delay",
+    "environment", "no_log", "args", "block", "rescue", "always", "check_mode", "async", "poll", "connection", "remote_user", "any_errors_fatal", "throttle",
+))
+
+
+def _tasks(node):
+    """The task mappings of a play, a task list, or the blocks inside."""
+    for item in node.value if isinstance(node, yaml.SequenceNode) else []:
+        if isinstance(item, yaml.MappingNode):
+            m = {k.value: v for k, v in item.value if isinstance(k, yaml.ScalarNode)}
+            below = ("tasks", "pre_tasks", "post_tasks", "handlers") if "hosts" in m else ("block", "rescue", "always")
+            if "hosts" not in m:
+                yield m
+            for key in below:
+                yield from _tasks(m[key]) if key in m else ()
+
+
+def _modules(top) -> list[Edge]:
+    """The modules that tasks call by a short name: the only key of a task that is no keyword."""
+    out: list[Edge] = []
+    for m in _tasks(top):
+        own = [k for k in m if k not in _TASK_KEYS]
+        if len(own) == 1 and own[0].isidentifier() and own[0] not in _ANSIBLE:
+            out.append(("ansible_module", own[0], None, m[own[0]].start_mark.line + 1))
+    return out
+
+
 def yaml_edges(text: str, flavor: str | None) -> list[Edge]:
     """References of Ansible, workflow, kustomization and chart files."""
     if yaml is None or flavor is None or flavor == "helm_template":
@@ -156,6 +187,8 @@ def yaml_edges(text: str, flavor: str | None) -> list[Edge]:
                     named = n if isinstance(n, yaml.ScalarNode) else next((v for k, v in n.value if k.value in ("role", "name")), None)
                     if named is not None:
                         put("ansible_role_entry", named)
+        if flavor == "ansible":
+            out += _modules(top)
         m = next(iter(_maps(top)), {})
         if flavor == "kustomize":
             for key, kind in (("resources", "kustomize_resource"), ("bases", "kustomize_resource"), ("components", "kustomize_component"), ("patchesStrategicMerge", "kustomize_patch")):
@@ -197,6 +230,6 @@ def edges(files: DataFrame) -> DataFrame:
     flavor = yaml_flavor(F.col("rel_path"))
     templates = files.where((F.col("lang") == "yaml") & (flavor == "helm_template"))
     out = parsed(files)
-    for part in (javascript(files.where(F.col("lang").isin("javascript", "typescript"))), msbuild(files.where("lang = 'msbuild'")), helm(templates), argocd(templates)):
+    for part in (javascript(files.where(F.col("lang").isin("javascript", "typescript"))), msbuild(files.where("lang = 'msbuild'")), helm(templates), argocd(files.where("lang = 'yaml'"))):
         out = out.unionByName(part)
     return out

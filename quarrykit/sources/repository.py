@@ -2,26 +2,75 @@
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions import paths
 from quarrykit.functions.text import chunk_hash, compress, scrub
+from quarrykit.functions.variables import upsert
 from quarrykit.sources import chunkers, extractors
 
-MAX_BYTES = 64 << 20
+IGNORE_FILE = ".gitignore"
+
+
+def nested_rules(spark: SparkSession, root: str, depth: int = 12) -> list[str]:
+    """The rules of all ignore files under ``root``, as rules of the root, outer files first.
+
+    Readers skip hidden files, so these few are listed and read by the driver.
+    """
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(at).toUri().getPath().rstrip("/")
+    out = []
+    for level in range(depth):
+        found = system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{'*/' * level}{IGNORE_FILE}"))
+        for path in sorted(str(f.getPath().toUri().getPath()) for f in found or ()):
+            stream = system.open(jvm.org.apache.hadoop.fs.Path(path))
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            directory = path[len(base) + 1 :].rpartition("/")[0]
+            lines = [line.strip() for line in text.splitlines()]
+            out += [paths.rerooted(line, directory) if directory else line for line in lines if line and not line.startswith("#")]
+    return out
 
 
 def walk(spark: SparkSession, root: str, rules: list[str] = ()) -> DataFrame:
-    """(file_id, rel_path, lang, size, mtime, content, content_hash) of the files of known languages under ``root`` that no rule ignores."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MAX_BYTES)
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), f"^.*?{root.rstrip('/').rsplit('/', 1)[-1]}/", "")
-    files = raw.select(rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"))
-    listed = spark.createDataFrame(list(enumerate([*rules, *paths.IGNORED])), "ord int, pattern string")
-    kept = paths.ignored(files, listed).where(~F.col("ignored")).drop("ignored").withColumn("lang", paths.language(F.col("rel_path")))
+    """(file_id, rel_path, lang, size, mtime, content, content_hash) of the files of known languages under ``root`` that no rule ignores.
+
+    Ignore files at any depth count, after ``rules`` and before the fixed ones.
+    Files that a link leads to outside the root are left out. Files of any size
+    that the reader can hold in a row are read.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(at).toUri().getPath().rstrip("/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    path = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?/+", "/")
+    listed = raw.withColumn("rel_path", F.substring(path, len(base) + 2, 1 << 30))
+    if system.getScheme() == "file":
+        inside = _inside(base)
+        listed = listed.where(inside(F.col("rel_path")))
+    own = [*rules, *nested_rules(spark, root), *paths.IGNORED]
+    files = listed.select("rel_path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"))
+    kept = paths.ignored(files, spark.createDataFrame(list(enumerate(own)), "ord int, pattern string")).where(~F.col("ignored")).drop("ignored").withColumn("lang", paths.language(F.col("rel_path")))
     return kept.where("lang is not null").withColumn("file_id", F.xxhash64("rel_path"))
 
 
+def _inside(base: str):
+    """Whether a local file below ``base`` really lies there, links followed."""
+
+    @F.pandas_udf("boolean")
+    def inside(rel: pd.Series) -> pd.Series:
+        root = os.path.realpath(base)
+        return rel.map(lambda r: os.path.realpath(os.path.join(base, r)).startswith(root + os.sep))
+
+    return inside
+
+
 def index(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chunks, raw edges) of files; chunk texts are stored scrubbed and compressed, hashed as stored."""
     chunks = chunkers.chunk(files).withColumn("content_hash", chunk_hash(F.col("text"))).withColumn("stored_text", compress(scrub(F.col("text")))).withColumn("char_count", F.length("text")).drop("text")
@@ -33,6 +82,12 @@ def write(df: DataFrame, path: str, project: str = "project_id") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(project).parquet(path)
 
 
+def upsert_json(spark: SparkSession, held: DataFrame, path: str, project: int, scope: str, now: float) -> DataFrame:
+    """``held`` variables with those of a JSON file put in as manual ones."""
+    new = variables_json(spark, path).select(F.lit(project).cast("long").alias("project_id"), F.lit(scope).alias("scope"), "name", F.coalesce("value", F.lit("")).alias("value"), F.lit("manual").alias("source"), F.lit(float(now)).alias("created_at"), F.lit(float(now)).alias("updated_at"))
+    return upsert(held, new)
+
+
 def variables_json(spark: SparkSession, path: str) -> DataFrame:
     """(name, value) of a JSON object of variables, values as strings."""
     body = spark.read.text(path, wholetext=True)

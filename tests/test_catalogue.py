@@ -49,38 +49,33 @@ def test_entry(spark):
     assert set(catalogue.queries()) <= set(__spark_entry__.queries())
 
 
-def test_whole_tables_equal_brute_force(spark):
-    run = lambda name: [tuple(r) for r in catalogue.queries()[name](spark, SF).collect()]
+def test_themes_equal_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label", "embedding").orderBy("vec_id").collect()
     by = {}
     for i, label, x in rows:
         by.setdefault(label, []).append((i, np.array(x, dtype=float)))
-    pairs = {k: [round(float(a @ b), 6) for n, (_, a) in enumerate(v) for _, b in v[n + 1 :]] for k, v in by.items()}
-    want = {k: (sum(v) / len(v), max(v) > 0.97) for k, v in pairs.items()}
-    small = memory.cohesion_by_blocks(spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", "label"), "label", rows=13)
-    for got in (run("cohesion_whole"), [tuple(r) for r in small.collect()]):
-        assert {k: n for k, _, n in got} == {k: n for k, (_, n) in want.items()} and all(abs(c - want[k][0]) < 2e-6 for k, c, _ in got)
-    every = np.array([x for *_, x in rows], dtype=float)
-    for k, decision, s, covered in run("coverage_gap_whole"):
-        own = every @ np.mean([x for _, x in by[k]], axis=0)
-        assert abs(own.max() - s) < 2e-6 and own[[r[0] for r in rows].index(decision)] > own.max() - 2e-6 and covered == (s >= 0.68)
     found = {}
-    for k, c, i, _ in run("theme_clusters"):
+    for k, c, i, _ in catalogue.queries()["theme_clusters"](spark, SF).collect():
         found.setdefault((k, c), set()).add(i)
     for k, v in by.items():
         x = np.array([y for _, y in v])
         for c, members in enumerate(memory.greedy_clusters(x @ x.T, 0.3)):
             held = {v[i][0] for i in members}
             assert found[k, c] <= held and len(found[k, c]) == min(len(held), memory.MAX_MEMBERS)
-    assert max(i for v in found.values() for i in v) >= 200
-    step = {tuple(r) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()}
-    for name, es in (("relations_forward_whole", step), ("relations_reverse_whole", {(b, a) for a, b in step})):
-        seen, front = {100: 0}, {100}
-        for hop in (1, 2):
-            front = {b for a, b in es if a in front} - set(seen)
-            seen |= dict.fromkeys(front, hop)
-        assert dict(run(name)) == seen
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert len(run("resolve_relative_whole")) == 5 * docs.count() and len(run("scrub_key_values_whole")) == docs.count()
-    es = {r for r in run("resolve_relative_whole") if r[0].split("/")[1] == "es"}
-    assert es == set(run("resolve_relative"))
+    small = memory.cohesion_by_blocks(spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", "label"), "label", rows=13).collect()
+    pairs = {k: [round(float(a @ b), 6) for n, (_, a) in enumerate(v) for _, b in v[n + 1 :]] for k, v in by.items()}
+    assert {k: n for k, _, n in small} == {k: max(v) > 0.97 for k, v in pairs.items()} and all(abs(c - sum(pairs[k]) / len(pairs[k])) < 2e-6 for k, c, _ in small)
+
+
+def test_consolidated_report(spark):
+    x = np.eye(8)
+    near = lambda i, j, t: [float(v) for v in (x[i] * t + x[j] * (1 - t * t) ** 0.5)]
+    plain = lambda i: [float(v) for v in x[i]]
+    log = [(1, 1, 10.0, "cache of a/b.py warms", "db", plain(0)), (1, 2, 11.0, "cache warms again", "db", near(0, 1, 0.9)), (1, 3, 12.0, "alone", "", plain(3)), (1, 4, 13.0, "one covered", "", plain(5)), (1, 5, 14.0, "two covered", "", plain(5)), (1, 6, 1.0, "too old", "", plain(0)), (1, 7, 15.0, "empty", "", [0.0] * 8)]
+    entries = spark.createDataFrame([r[:5] for r in log], "project_id long, id long, created_at double, summary string, tags string")
+    vectors = spark.createDataFrame([(r[1], r[5]) for r in log], "id long, embedding array<double>")
+    decisions = spark.createDataFrame([(1, 70, plain(5)), (2, 71, plain(0))], "project_id long, decision_id long, embedding array<double>")
+    files = spark.createDataFrame([(1, "a/b.py"), (1, "c.py")], "project_id long, rel_path string")
+    themes, summary = memory.consolidated(entries, vectors, decisions, files, 100.0 + 90 * 86400 - 95)
+    assert [(r["topic"], r["members"], r["files"], r["decision_id"], r["cohesion"]) for r in themes.collect()] == [("warms", 2, ["a/b.py"], 70, 0.9)]
+    assert [tuple(r) for r in summary.collect()] == [(1, 5, 1, 1)]

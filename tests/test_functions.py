@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrykit.functions import paths, text, variables
-from quarrykit.operators import briefs, edges, incremental, memory, retrieval
+from quarrykit.operators import briefs, edges, incremental, memory, registry, retrieval
+from quarrykit.sources import repository
 
 
 def one(spark, column, **values):
@@ -130,3 +131,53 @@ def test_map_keeps_shallow_files(spark):
 def test_encoder_is_unit_length(spark):
     v = one(spark, retrieval.hashed_encoder(F.col("t")), t="some words in a text")
     assert len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-6
+
+
+def test_long_runs_end(spark):
+    texts = ['token = "' + "x" * 1_000_000 + '"', 'token = "' + '\\"' * 100_000 + '"', "a" * 300_000 + "://u:p@h", "eyJ" * 100_000, "^99999999999^ ^3^", "-----BEGIN A PRIVATE KEY-----" * 3000, "1ab://u:p@h x"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = d.select("i", text.scrub(F.col("t")).alias("s"), text.scrub_assignments(F.col("t")).alias("a"), text.decompress(F.col("t")).alias("d")).orderBy("i").collect()
+    assert [got[i]["a"] for i in (0, 1)] == ['token = "CHANGE_ME"'] * 2 and got[2]["s"] == "CHANGE_ME" and got[4]["d"] == "^99999999999^    " and got[6]["s"] == "1CHANGE_ME x"
+
+
+def test_assignments_of_any_key(spark):
+    d = spark.createDataFrame([('1token = "a" my-Secret="b\\"c" name = "d" password = "open',)], "t string")
+    assert d.select(text.scrub_assignments(F.col("t"))).first()[0] == '1token = "CHANGE_ME" my-Secret="CHANGE_ME" name = "d" password = "open'
+
+
+def test_values_that_hold_markers_stay(spark):
+    d = spark.createDataFrame([("{{ a }} {{ b }} {{c}}", {"a": "{{ b }}", "b": "x"})], "t string, v map<string,string>")
+    r = d.select(variables.substitute(F.col("t"), F.col("v"), "jinja").alias("s")).first()["s"]
+    assert (r["text"], r["complete"]) == ("{{ b }} x {{c}}", False)
+
+
+def test_queries_without_operands(spark):
+    d = spark.createDataFrame([(1, "a b"), (2, "c")], "chunk_id long, stored_text string").withColumns({"name": F.lit(""), "qualified_name": F.lit("")})
+    found = lambda q: {r["chunk_id"] for r in d.where(retrieval.predicate(q)).collect()}
+    assert found("a OR") == found("OR a") == found("a AND") == found("(a") == found("a)") == {1} and found("NOT") == found("()") == found("") == set()
+    assert found("a) c") == set() and found("a OR NOT a") == {1, 2} and found("NOT a") == {2}
+
+
+def test_palette_and_free_names(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("external",)], "node_group string")
+    assert {r[0]: r[1] for r in edges.palette(nodes).collect()} == {"a": "#d68941", "b": "#5d41d6", "external": "#cccccc"}
+    p = spark.createDataFrame([(1, "w", "/a"), (2, "w", "/b"), (3, "w_2", "/c"), (4, "w_3", "/d"), (5, "v", "/e")], "project_id long, name string, root_path string")
+    assert registry.next_free_name(p, "w") == "w_4" and registry.next_free_name(p, "v") == "v_2" and registry.selected(p, "/b").first()["project_id"] == 2
+    with pytest.raises(registry.AmbiguousProject):
+        registry.selected(p, "w")
+
+
+def test_deep_traversal_stores_its_levels(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "source_file_id long, target_file_id long")
+    got = edges.traverse(chain, spark.createDataFrame([(0,)], "file_id long"), 8)
+    assert sorted(map(tuple, got.collect())) == [(i, i) for i in range(9)] and got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
+
+
+def test_nested_ignore_files_and_links(spark, tmp_path):
+    for name, body in {"repo/a/repo/m.py": "x = 1", "repo/a/.gitignore": "skip.py\n!keep.py\n", "repo/a/b/skip.py": "x", "repo/skip.py": "x", "out/secret.py": "x"}.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(body)
+    (tmp_path / "repo" / "link.py").symlink_to(tmp_path / "out" / "secret.py")
+    got = repository.walk(spark, str(tmp_path / "repo"))
+    assert {r["rel_path"] for r in got.collect()} == {"a/repo/m.py", "skip.py"}
