@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 import uuid
 
 from pyspark import Broadcast, cloudpickle
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrykit.functions.store import shared_dir
+
 #: A document word, on lower-cased UTF-8 bytes: digits, a-z and every non-ASCII character.
 _WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -22,27 +23,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This session's folder below the one that driver and executors share; it goes when the driver ends.
-
-    Where no shared folder is set a temporary one serves, but only a driver
-    that runs its tasks itself (tests, bench).
-    """
-    found = getattr(spark, "_quarrykit_dir", None)
-    if found is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            root = tempfile.mkdtemp(prefix="quarrykit-")
-        found = spark._quarrykit_dir = f"{root}/quarrykit/{uuid.uuid4().hex}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(found)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-    return found
-
-
 #: Whether Spark removes the shuffle files of an execution when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -128,7 +128,7 @@ def _calibrated(strata: DataFrame, targets: dict, budget_share: float | None) ->
     fitted = rake(cube, [np.array([targets[a].get(v, 0.0) for v in x]) for a, x in zip(AXES, levels, strict=True)])
     p = probabilities(cube, fitted, None if budget_share is None else budget_share * cube.sum())
     share = np.divide(fitted * cube.sum(), cube, out=np.zeros_like(cube), where=cube > 0)
-    rows = [(*(x[i] for x, i in zip(levels, at, strict=True)), float(share[at]), float(p[at])) for at in np.ndindex(cube.shape) if cube[at] > 0]
+    rows = [(*(x[i] for x, i in zip(levels, at, strict=True)), float(share[at]), float(p[at])) for at in zip(*(i.tolist() for i in np.nonzero(cube)), strict=True)]
     return F.broadcast(strata.sparkSession.createDataFrame(rows, ", ".join(f"_{a}_level string" for a in AXES) + ", weight double, probability double"))  # bounded by MAX_CUBE
 
 
@@ -203,7 +203,11 @@ def weigh(docs: DataFrame, targets: dict | None = None, budget_share: float | No
 
 
 def sample(docs: DataFrame, targets: dict | None = None, budget_share: float | None = None) -> DataFrame:
-    """The documents that :func:`weigh` keeps, in their own columns."""
+    """The documents that :func:`weigh` keeps, in their own columns.
+
+    Nulls, texts without tokens, values without a target and repeated rows are
+    drawn as there; an empty table gives no rows; columns of any name are kept.
+    """
     strata = _strata(docs)
     light = settle(strata.select("_tokens", *(f"_{a}" for a in AXES)))
     targets = _bounded(docs.sparkSession, targets or tempered(light))

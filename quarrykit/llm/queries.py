@@ -102,6 +102,21 @@ SELECT e.doc_id, least(e.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = e.do
 """
 
 
+#: Texts as hexadecimal bytes; starts of repeated 100-byte strings, joined to spans, and the bytes between the spans.
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM g GROUP BY doc_id, g),
+b AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM s),
+k AS (SELECT b.doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || any_value(substr(h, 2 * e + 1)) AS kept
+      FROM b JOIN d ON d.doc_id = b.doc_id JOIN (SELECT doc_id, max(z) AS e FROM s GROUP BY 1) m ON m.doc_id = b.doc_id GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
 def _op9_sql() -> str:
     """Hits and the gaps between them give the positions, rule by rule."""
     assign = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?"""
@@ -122,4 +137,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_jaccard": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_secrets": _op9_sql()}
+    return {"op1_suffix": OP1_SQL, "op2_jaccard": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_secrets": _op9_sql()}

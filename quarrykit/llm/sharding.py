@@ -118,7 +118,7 @@ def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None)
     larger than the capacity, or than the mean of what larger ones leave to the
     other shards, is not divided: it gets a bin of its own. Repeated
     rows each take a slot; an empty table gives no rows; other columns are
-    ignored. Slots are numbered by doc_id parts.
+    ignored. Slots are numbered by parts of a hash of doc_id and text.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = settle(docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_key")))
@@ -135,4 +135,4 @@ def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None)
     groups = groups.join(F.broadcast(table), "_class")  # bounded by the number of classes and bins
     groups = groups.select("_key", F.expr("element_at(_bin, size(filter(_from, f -> f <= _nth)))").alias("shard"))
     placed = rows.join(groups, "_key").drop("_key")
-    return numbered(placed, ["shard"], [F.col("doc_id"), F.col("text_crc32")], F.xxhash64("doc_id"), -(-n_rows // ROWS_A_PART) or 1, "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
+    return numbered(placed, ["shard"], [F.col("doc_id"), F.col("text_crc32")], F.xxhash64("doc_id", "text_crc32"), -(-n_rows // ROWS_A_PART) or 1, "slot").select("doc_id", "size", "text_crc32", "shard", "slot")

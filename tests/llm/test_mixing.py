@@ -1,8 +1,12 @@
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarrykit.llm import mixing as M
+from quarrykit.llm import queries
 
 
 def test_rake_meets_the_marginals():
@@ -57,3 +61,41 @@ def test_cells_beyond_the_driver_fit_the_same(spark, empty, monkeypatch):
     assert {r[0] for r in M.sample(docs, own, 0.5).select("doc_id").collect()} == {r["doc_id"] for r in got if r["kept"]}
     monkeypatch.setattr(M, "MAX_CUBE", 0)
     assert M.weigh(empty).count() == 0
+
+
+def test_query_equals_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    held = []
+    for r in rows:
+        text = r["text"] or ""
+        n = len([t for t in re.split("[ \\t\\n\\r\\f\\x0b]+", text) if t])
+        signs, bars = sum(c in "#$%&*" for c in text), text.count("|")
+        topic = "table" if bars * 10 >= n else "noise" if signs * 4 >= n else "note" if n < 120 else "article" if n < 1200 else "long"
+        held.append((r["doc_id"], n, (r["source"] or "*", r["lang"] or "*", topic if r["text"] is not None else "long")))
+    cells = {}
+    for _, n, cell in held:
+        cells[cell] = cells.get(cell, 0) + n
+    cells = {c: n for c, n in cells.items() if n}
+    weight, total = dict.fromkeys(cells, 1.0), sum(cells.values())
+    shares = []
+    for axis in range(3):
+        own = {}
+        for c, n in cells.items():
+            own[c[axis]] = own.get(c[axis], 0) + n
+        whole = sum(n**0.7 for n in own.values())
+        shares.append({v: n**0.7 / whole for v, n in own.items()})
+    for _ in range(500):
+        for axis in range(3):
+            now = {}
+            for c, n in cells.items():
+                now[c[axis]] = now.get(c[axis], 0) + n * weight[c] / total
+            weight = {c: w * shares[axis][c[axis]] / now[c[axis]] for c, w in weight.items()}
+    most = max(weight.values())
+    got = {r["doc_id"]: r for r in queries.op6_mixing(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+    for doc_id, n, cell in held:
+        r = got[doc_id]
+        draw = int(hashlib.md5(str(doc_id).encode()).hexdigest()[:12], 16) / 2**48
+        assert (r["n_tokens"], r["source_level"], r["lang_level"], r["topic_level"]) == (n, *cell)
+        assert r["weight"] == pytest.approx(weight.get(cell, 0.0), rel=1e-6) and r["probability"] == pytest.approx(weight.get(cell, 0.0) / most, rel=1e-6)
+        assert r["draw"] == draw and r["kept"] == (draw < r["probability"])
