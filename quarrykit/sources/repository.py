@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions import paths
-from quarrykit.functions.text import chunk_hash, compress, scrub
+from quarrykit.functions.store import stored
+from quarrykit.functions.text import chunk_hash, compress, decompress, scrub
 from quarrykit.functions.variables import upsert
+from quarrykit.operators import edges
+from quarrykit.operators.retrieval import hashed_encoder
 from quarrykit.sources import chunkers, extractors
 
 IGNORE_FILE = ".gitignore"
@@ -77,6 +81,38 @@ def index(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chunks.withColumn("chunk_id", F.xxhash64("file_id", "ord")), extractors.edges(files)
 
 
+def build(spark: SparkSession, root: str, project: int, rules: list[str] = (), variables: Column | None = None, encode=hashed_encoder) -> dict[str, DataFrame]:
+    """The whole index of a repository: files, chunks, vectors and resolved edges, each with project_id.
+
+    Every table comes from the walk alone, so writing them over a project is a
+    rebuild. Role and library directories are those that config files name.
+    """
+    files = stored(walk(spark, root, rules).withColumn("project_id", F.lit(project).cast("long")))
+    chunks, raw = index(files)
+    chunks = stored(chunks.withColumn("project_id", F.lit(project).cast("long")))
+    vectors = chunks.select("project_id", "chunk_id", encode(decompress(F.col("stored_text"))).alias("embedding"))
+    named = raw.join(files.select("file_id", "project_id", "lang", F.col("rel_path").alias("source_rel")), "file_id").withColumnRenamed("file_id", "source_file_id")
+    named = stored(named.withColumn("edge_id", F.xxhash64("source_file_id", "kind", "raw", "symbol", "line")).dropDuplicates(["edge_id"]))
+    return {"files": files, "chunks": chunks, "vectors": vectors, "edges": edges.resolve(named, files.select("project_id", "file_id", "rel_path"), variables)}
+
+
+class Busy(RuntimeError):
+    """Somebody else writes the project."""
+
+
+@contextmanager
+def only_writer(spark: SparkSession, path: str, project: int):
+    """Holds a project's lock file below ``path`` while its tables are written; raises :class:`Busy` at once if it is held."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_writer-{project}.lock")
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.createNewFile(at):
+        raise Busy(f"project {project} is being written")
+    try:
+        yield
+    finally:
+        system.delete(at, False)
+
+
 def write(df: DataFrame, path: str, project: str = "project_id") -> None:
     """Replace the projects that ``df`` holds, leaving the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(project).parquet(path)

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from quarrykit.sources import chunkers, extractors, parsers, repository
 from quarrykit.streaming import staged, windows
 
@@ -108,3 +110,21 @@ def test_outbox_and_streamed_windows(spark, tmp_path):
     q = windows.tumbling(stream, "1 hour", late="10 minutes").writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("hours").count() == windows.tumbling(events, "1 hour").count()
+
+
+def test_build_and_lock(spark, tmp_path):
+    for name, body in {"src/App/App.csproj": '<ProjectReference Include="..\\Lib\\Lib.fsproj" />', "src/Lib/Lib.fsproj": "<Project/>", "pkg/a.py": "from .b import f\n", "pkg/b.py": "def f():\n    pass\n"}.items():
+        p = tmp_path / "repo" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(body)
+    out = repository.build(spark, str(tmp_path / "repo"), 7)
+    path = {r["file_id"]: r["rel_path"] for r in out["files"].collect()}
+    assert {(path[r["source_file_id"]], path.get(r["target_file_id"])) for r in out["edges"].collect()} == {("src/App/App.csproj", "src/Lib/Lib.fsproj"), ("pkg/a.py", "pkg/b.py")}
+    assert out["vectors"].count() == out["chunks"].count() >= 4 and {r[0] for r in out["chunks"].select("project_id").distinct().collect()} == {7}
+    with repository.only_writer(spark, str(tmp_path), 7):
+        with pytest.raises(repository.Busy), repository.only_writer(spark, str(tmp_path), 7):
+            pass
+        with repository.only_writer(spark, str(tmp_path), 8):
+            pass
+    with repository.only_writer(spark, str(tmp_path), 7):
+        pass
