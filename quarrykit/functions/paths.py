@@ -78,7 +78,12 @@ def normalize(path: Column) -> Column:
 
 def resolve(source: Column, raw: Column) -> Column:
     """``raw`` seen from the file ``source``; a leading slash means the root."""
-    return F.when(raw.startswith("/"), normalize(raw)).otherwise(normalize(F.concat_ws("/", dir_name(source), raw)))
+    return normalize(joined(source, raw))
+
+
+def joined(source: Column, raw: Column) -> Column:
+    """``raw`` behind the directory of ``source``, or from the root, not yet normalised."""
+    return F.when(raw.startswith("/"), raw).otherwise(F.concat_ws("/", dir_name(source), raw))
 
 
 def top_group(path: Column) -> Column:

@@ -51,72 +51,92 @@ def deduplicated(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source_file_id", "kind", "raw").agg(F.min("line").alias("line"))
 
 
-def python_candidates(source: Column, raw: Column, symbol: Column) -> Column:
-    """Files that a Python import may mean, in order; null entries where it leaves the root."""
+# Candidate paths are put together as text and normalised once, at the end: a path function in every branch makes plans of hundreds of kilobytes.
+
+
+def _normalized(candidates: Column) -> Column:
+    return F.transform(candidates, paths.normalize)
+
+
+def _python(source: Column, raw: Column, symbol: Column) -> Column:
     dots = F.length(F.regexp_extract(raw, r"^(\.*)", 1))
     name = F.replace(F.regexp_replace(raw, r"^\.+", ""), F.lit("."), F.lit("/"))
     ups = F.array_repeat(F.lit(".."), F.greatest(dots - 1, F.lit(0)))
     base = F.when(dots > 0, F.concat_ws("/", paths.dir_name(source), F.array_join(ups, "/"), name)).otherwise(name)
     with_symbol = F.array(F.concat_ws("/", base, F.concat(symbol, F.lit(".py"))), F.concat_ws("/", base, symbol, F.lit("__init__.py")))
     plain = F.array(F.concat(base, F.lit(".py")), F.concat_ws("/", base, F.lit("__init__.py")))
-    every = F.when(symbol.isNotNull() & (symbol != "*"), F.concat(with_symbol, plain)).otherwise(plain)
-    return F.transform(every, paths.normalize)
+    return F.when(symbol.isNotNull() & (symbol != "*"), F.concat(with_symbol, plain)).otherwise(plain)
+
+
+def python_candidates(source: Column, raw: Column, symbol: Column) -> Column:
+    """Files that a Python import may mean, in order; null entries where it leaves the root."""
+    return _normalized(_python(source, raw, symbol))
 
 
 def js_candidates(source: Column, raw: Column) -> Column:
     """Files that a relative JavaScript import may mean, in order; empty for packages."""
-    target = paths.resolve(source, raw)
     tails = [*JS_EXTENSIONS, *(f"/index{e}" for e in JS_EXTENSIONS)]
     known = raw.rlike(r"\.(js|jsx|ts|tsx)$")
-    guesses = F.array(*(F.concat(target, F.lit(t)) for t in tails))
-    return F.when(~raw.startswith(".") | target.isNull(), F.array().cast("array<string>")).when(known, F.array(target)).otherwise(guesses)
+    target = F.array(paths.resolve(source, raw))
+    guesses = F.flatten(F.transform(target, lambda t: F.when(known, F.array(t)).otherwise(F.array(*(F.concat(t, F.lit(e)) for e in tails)))))
+    return F.when(raw.startswith("."), F.filter(guesses, lambda g: g.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
-def terraform_candidates(source: Column, raw: Column, kind: Column) -> Column:
-    """Files of a Terraform path; a module means its main.tf."""
+def _terraform(source: Column, raw: Column, kind: Column) -> Column:
     here = F.regexp_replace(raw, r"^\$\{path\.module\}/", "./")
     path = F.when(raw.startswith("${path.root}/"), F.regexp_replace(raw, r"^\$\{path\.root\}/", "/")).otherwise(here)
-    target = paths.resolve(source, path)
+    target = paths.joined(source, path)
     module = F.when(path.rlike(r"^[./]"), F.array(F.concat_ws("/", target, F.lit("main.tf")))).otherwise(F.array().cast("array<string>"))
     return F.when(kind == "tf_module", module).otherwise(F.array(target))
 
 
-def manifest_candidates(source: Column, raw: Column, symbol: Column, kind: Column) -> Column:
-    """Files of workflow, kustomization, chart and project references."""
-    clean = F.regexp_replace(F.regexp_replace(raw, "@.*$", ""), r"^\./", "")
-    rooted = paths.normalize(clean)
-    near = paths.resolve(source, raw)
+def terraform_candidates(source: Column, raw: Column, kind: Column) -> Column:
+    """Files of a Terraform path; a module means its main.tf."""
+    return _normalized(_terraform(source, raw, kind))
+
+
+def _manifest(source: Column, raw: Column, symbol: Column, kind: Column) -> Column:
+    rooted = F.regexp_replace(F.regexp_replace(raw, "@.*$", ""), r"^\./", "")
+    near = paths.joined(source, raw)
     none = F.array().cast("array<string>")
-    remote = raw.rlike(r"^[a-z+]+://|^git@|^github\.com/|\?ref=")
+    remote = raw.rlike(r"^[a-z]+://|^git@|^github\.com/|\?ref=")
     in_dir = lambda base, *names: F.array(*(F.concat_ws("/", base, F.lit(n)) for n in names))
     return (
         F.when(kind == "gha_uses_workflow", F.array(rooted))
         .when(kind == "gha_uses_action", in_dir(rooted, "action.yml", "action.yaml"))
         .when(kind.startswith("kustomize_"), F.when(remote, none).otherwise(F.concat(F.array(near), in_dir(near, "kustomization.yaml", "kustomization.yml"))))
         .when(kind == "argocd_app_source", F.when(has_markers(raw), none).otherwise(F.concat(in_dir(rooted, "Chart.yaml", "kustomization.yaml", "kustomization.yml"), F.array(rooted))))
-        .when(kind == "helm_dependency", F.concat(F.when(raw.startswith("file://"), in_dir(paths.resolve(source, F.regexp_replace(raw, "^file://", "")), "Chart.yaml")).otherwise(none), in_dir(paths.resolve(source, F.concat(F.lit("charts/"), symbol)), "Chart.yaml")))
-        .when(kind == "dotnet_project_reference", F.array(paths.resolve(source, F.replace(raw, F.lit("\\"), F.lit("/")))))
+        .when(kind == "helm_dependency", F.concat(F.when(raw.startswith("file://"), in_dir(paths.joined(source, F.regexp_replace(raw, "^file://", "")), "Chart.yaml")).otherwise(none), in_dir(paths.joined(source, F.concat(F.lit("charts/"), symbol)), "Chart.yaml")))
+        .when(kind == "dotnet_project_reference", F.array(paths.joined(source, F.replace(raw, F.lit("\\"), F.lit("/")))))
     )
 
 
-def ansible_candidates(source: Column, raw: Column, symbol: Column, kind: Column, roles: tuple[str, ...] = ("roles",)) -> Column:
-    """Files of an Ansible reference: relative paths, or a role's task file in the role directories."""
-    near = paths.resolve(source, raw)
+def manifest_candidates(source: Column, raw: Column, symbol: Column, kind: Column) -> Column:
+    """Files of workflow, kustomization, chart and project references."""
+    return _normalized(_manifest(source, raw, symbol, kind))
+
+
+def _ansible(source: Column, raw: Column, symbol: Column, kind: Column, roles: tuple[str, ...]) -> Column:
     entry = F.coalesce(symbol, F.lit("main"))
     role = F.array(*(F.concat(F.lit(f"{d}/"), raw, F.lit("/tasks/"), entry, F.lit(e)) for d in roles for e in (".yml", ".yaml")))
-    return F.when(kind.isin("ansible_include_role", "ansible_import_role", "ansible_role_entry"), role).otherwise(F.array(near))
+    return F.when(kind.isin("ansible_include_role", "ansible_import_role", "ansible_role_entry"), role).otherwise(F.array(paths.joined(source, raw)))
+
+
+def ansible_candidates(source: Column, raw: Column, symbol: Column, kind: Column, roles: tuple[str, ...] = ("roles",)) -> Column:
+    """Files of an Ansible reference: relative paths, or a role's task file in the role directories."""
+    return _normalized(_ansible(source, raw, symbol, kind, roles))
 
 
 def candidates(roles: tuple[str, ...] = ("roles",)) -> Column:
     """Candidate paths of a raw edge (source_rel, lang, kind, raw, symbol) by its kind; ``roles`` are the role directories."""
     source, raw, symbol, kind = F.col("source_rel"), F.col("raw"), F.col("symbol"), F.col("kind")
-    return (
-        F.when(kind.isin("import", "from_import", "dynamic_import") & (F.col("lang") == "python"), python_candidates(source, raw, symbol))
+    return _normalized(
+        F.when(kind.isin("import", "from_import", "dynamic_import") & (F.col("lang") == "python"), _python(source, raw, symbol))
         .when(kind.isin("import", "require", "dynamic_import"), js_candidates(source, raw))
-        .when(kind.isin(*TF_SYMBOLS, "helm_include", "ansible_module"), F.array().cast("array<string>"))  # by symbol_targets
-        .when(kind.startswith("tf_"), terraform_candidates(source, raw, kind))
-        .when(kind.startswith("ansible_"), ansible_candidates(source, raw, symbol, kind, roles))
-        .otherwise(manifest_candidates(source, raw, symbol, kind))
+        .when(kind.isin(*TF_SYMBOLS, "helm_include", "ansible_module"), F.array().cast("array<string>"))  # by name
+        .when(kind.startswith("tf_"), _terraform(source, raw, kind))
+        .when(kind.startswith("ansible_"), _ansible(source, raw, symbol, kind, roles))
+        .otherwise(_manifest(source, raw, symbol, kind))
     )
 
 
