@@ -221,7 +221,7 @@ def forest(nodes: DataFrame, lowest: int) -> DataFrame:
 
 def _sets(n: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             kept = [(node, own) for node, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for own in [shingles(text, n)] if _node_of(own, text, doc_id) == node]
             yield pa.RecordBatch.from_pydict({"node": pa.array([k for k, _ in kept], pa.int64()), "own": pa.array([x.tobytes() for _, x in kept], pa.binary())})
 

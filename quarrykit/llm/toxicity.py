@@ -35,7 +35,8 @@ _CLEAN = re.compile("^[*@$#&%'\\-_+~^`\\\\“”„«»‘’]+|[*@$#&%'\\-_+~^`
 #: Words that report what somebody else said.
 REPORTING = frozenset("said says called quoted quote wrote term word slur insult dit appelle cite mot sagte nannte zitat wort dijo llama cita palabra".split())
 _OPEN_CLOSE = (("“", "”"), ("«", "»"), ("„", "“"), ("„", "”"))
-_CACHE = 400_000
+#: Tokens that a worker remembers at most, and only while its task runs.
+_CACHE = 200_000
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -85,6 +86,10 @@ class Lexicon:
                     stack.append((below, tuple(now)))
         return sorted(found)
 
+    def forget(self) -> None:
+        """Give back what the tokens read so far take; workers outlive their tasks."""
+        self.plain, self.known = set(), {}
+
     def match(self, token: bytes) -> list[tuple[str, int]]:
         """(term, edits) of a token; an exact term matches only itself."""
         if token in self.plain:
@@ -178,6 +183,7 @@ def _features(lexicon) -> callable:
                 for k, v in (("toxic", label), ("exact", exact), ("fuzzy", fuzzy), ("hits", total)):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("toxic", pa.int32()), ("exact", pa.float64()), ("fuzzy", pa.float64()), ("hits", pa.float64())]))
+        known.forget()
 
     return run
 
@@ -191,6 +197,7 @@ def _neighbours(lexicon) -> callable:
             words = [_CLEAN.sub("", w) for w in batch.column(0).to_pylist()]
             near = pa.array([any(edits for _, edits in known.match(w.encode("utf-8", "surrogatepass"))) for w in words], pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *batch.columns[1:]], names=["word", "clean", "toxic"]).filter(near)
+        known.forget()
 
     return run
 
@@ -275,6 +282,7 @@ def _scores(model) -> callable:
         for batch in batches:
             scores = [known.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(scores, pa.float64()), "predicted": pa.array([int(s >= 0.5) for s in scores], pa.int32())})
+        known.lexicon.forget()
 
     return run
 
@@ -295,6 +303,7 @@ def _kept(model, at: int, names: list[str]) -> callable:
         known = opened(model)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array([known.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
+        known.lexicon.forget()
 
     return run
 
