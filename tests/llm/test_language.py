@@ -1,18 +1,16 @@
-from pyspark.sql import functions as F
+import zlib
 
-from quarrykit.llm import language
+from quarrykit.llm import language, queries
 
 SF = "/root/testdata/sf0.001/documents.parquet"
 
 
 def test_held_out_accuracy(spark):
-    d = spark.read.parquet(SF)
-    out = language.held_out(F.col("doc_id"))
-    model = language.fit(d.where(~out))
-    got = language.identify(d, model).join(d.where(out).select("doc_id", "lang"), "doc_id")
-    right = got.where("lang_pred = lang").count()
-    assert right / got.count() > 0.95
-    assert got.where("score < 0 or score > 1").count() == 0
+    d = {r["doc_id"]: r for r in spark.read.parquet(SF).collect()}
+    got = queries.op3_language(spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"] for r in got} == set(d) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in got)
+    asked = [r for r in got if r["held_out"] and d[r["doc_id"]]["lang"] and language.has_letter(d[r["doc_id"]]["text"])]
+    assert sum(r["lang_pred"] == d[r["doc_id"]]["lang"] for r in asked) / len(asked) > 0.95
 
 
 def test_cases(spark, docs, empty, rows):

@@ -1,7 +1,9 @@
 import random
+import zlib
 
 import pytest
 
+from quarrykit.llm import queries
 from quarrykit.llm import toxicity as T
 
 
@@ -72,3 +74,14 @@ def test_a_clean_neighbour_is_barred_not_its_term(spark):
     assert lexicon.match(b"m0ron") == lexicon.match(b"moronn") == [("moron", 1)] and lexicon.match(b"scvm") == [("scum", 1)]
     rare = T.Lexicon({"moron": 1.0}, {"moron"}, frozenset([b"oron"]))
     assert rare.match(b"oron") == [] and rare.match(b"morons") == [("moron", 1)]
+
+
+def test_query_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").where("toxic is not null").collect()}
+    got = queries.op5_toxicity(spark, d).collect()
+    assert len(got) == spark.read.parquet(f"{d}/documents.parquet").count()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    asked = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in labels]
+    found, accused = [sum(p for p, y in asked if y == k) / sum(y == k for _, y in asked) for k in (1, 0)]
+    assert found > 0.85 and accused < 0.05
