@@ -42,6 +42,22 @@ def test_equals_sql(spark, con, name):
     assert table(got.select(*columns).collect()) == table([[r[i] for i in at] for r in want.fetchall()])
 
 
+def differences(spark, tmp_path, name, **made):
+    """Rows of a query and of its SQL over made tables (columns, rows) that the other side lacks."""
+    c = duckdb.connect()
+    for t, (columns, rows) in made.items():
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{t}.parquet")
+        c.sql(f"create view {t} as from '{tmp_path}/{t}.parquet/*.parquet'")
+    got, want = catalogue.queries()[name](spark, str(tmp_path)), c.sql(catalogue.oracle_sql()[name])
+    got, want = table(got.select(*want.columns).collect()), table(want.fetchall())
+    return [r for r in got if r not in want], [r for r in want if r not in got]
+
+
+def test_first_lines_keep_their_digits(spark, tmp_path):
+    texts = ["ends in 10", "0", "00 begins\nx", "  two  \n", "", "\n1 second 1", "// 0", "'''0", "\t0", "é" * 200 + "0", "\U0001f600" * 170, "\r\n0", None, "a" * 157 + "0 0"]
+    assert differences(spark, tmp_path, "first_lines_and_terms", documents=("doc_id long, text string", list(enumerate(texts)))) == ([], [])
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -23,6 +23,12 @@ def test_sensitive_keys_and_assignments(spark):
     assert one(spark, text.scrub_assignments(F.col("t")), t='db_password = "x\\"y" name = "n" token="1"') == 'db_password = "CHANGE_ME" name = "n" token="CHANGE_ME"'
 
 
+def test_first_lines_lose_blanks_only(spark):
+    assert one(spark, text.first_line(F.col("t")), t="\n   \n  2 of 20  \nx") == "2 of 20"
+    assert one(spark, text.first_line(F.col("t")), t="0 to 10") == "0 to 10"
+    assert one(spark, text.first_body_line(F.col("t")), t="# 1\n 1 + 0 = 1 ") == "1 + 0 = 1"
+
+
 def test_whitespace(spark):
     assert one(spark, text.compress(F.col("t")), t="a    b\n\n\n  c") == "a^4^b^5^c"
     assert one(spark, text.decompress(F.col("t")), t="a^4^b") == "a    b"
