@@ -29,6 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` spread over all cores by ``key``: a small table in one part may hold many rows of long work, and a part is one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` and read it again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.functions import paths
+from quarrykit.functions.store import dealt
 from quarrykit.sources import parsers
 
 CHUNK = "file_id long, ord int, kind string, name string, qualified_name string, start_line int, end_line int, text string"
@@ -83,7 +84,7 @@ def parsed(files: DataFrame) -> DataFrame:
                     out.append({"file_id": r["file_id"], "ord": k, "kind": c.kind, "name": c.name, "qualified_name": c.qualified_name, "start_line": c.start_line, "end_line": c.end_line, "text": c.text})
             yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
-    return files.select("file_id", "lang", "rel_path", "content").mapInArrow(run, CHUNK)
+    return dealt(files.select("file_id", "lang", "rel_path", "content"), "file_id").mapInArrow(run, CHUNK)
 
 
 _SCHEMA = pa.schema([("file_id", pa.int64()), ("ord", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("qualified_name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("text", pa.string())])

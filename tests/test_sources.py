@@ -1,6 +1,7 @@
 import json
 
 import pytest
+import yaml
 
 from quarrykit.sources import chunkers, extractors, parsers, repository
 from quarrykit.streaming import staged, windows
@@ -37,6 +38,30 @@ def test_json_and_yaml():
     assert "CHANGE_ME" in parsers.yaml_chunks("password: x\n", "values.yaml")[0].text
 
 
+def test_yaml_loaders_agree():
+    def plain(n):
+        own = (n.tag, n.start_mark.index, n.start_mark.line, n.end_mark.index)
+        return own + (n.value if isinstance(n, yaml.ScalarNode) else tuple(plain(x) if isinstance(n, yaml.SequenceNode) else (plain(x[0]), plain(x[1])) for x in n.value),)
+
+    def read(text, load):
+        try:
+            return [n and plain(n) for n in load(text)]
+        except yaml.YAMLError:
+            return "error"
+
+    odd = ["--- ", "a: 1\n---", "?", "{ key:}", "{+' : }", "[" * 90 + "]" * 90, "k: |\n  x\n", "é: ü", "- - a", "a: b: c", "a:\tb", "&a x", "", "# c", "k" * 1030 + ": v"]
+    own = ["password: x1\nimage:\n  tag: v1", "- name: one\n  include_role:\n    name: r2\n- x:\n", "a: 'b'\nc: \"d\"\n\n# e\nf:\n- g  # h\n- i\n"]
+    for text in odd + own:
+        assert read(text, parsers.yaml_nodes) == read(text, lambda t: yaml.compose_all(t, Loader=yaml.SafeLoader)), text
+    assert all(parsers._YAML_COMMON.fullmatch(t) and not parsers._YAML_APART.search(t) for t in own)
+
+
+def test_parsers_use_all_cores(spark):
+    files = spark.createDataFrame([(i, f"v{i}/values.yaml", "yaml", "a: 1") for i in range(64)], "file_id long, rel_path string, lang string, content string").coalesce(1)
+    for found in (chunkers.parsed(files), extractors.parsed(files)):
+        assert found.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
 def test_dotnet():
     cs = "using System;\nnamespace Demo.App;\n\n[Attr]\npublic class Program { void M() { } }\ninternal record R(int X);\n"
     assert names(parsers.csharp_chunks(cs)) == [("module_level", None), ("class", "Demo.App.Program"), ("record", "Demo.App.R")]
