@@ -19,6 +19,11 @@ TF_SYMBOLS = {"tf_var_ref": "var", "tf_local_ref": "local", "tf_module_ref": "mo
 DECLARATIONS = ("tf_decl", "helm_define")
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A join's right side that is never broadcast: paths put together from a small table are many times its size, which is all the planner knows."""
+    return side.hint("merge")
+
+
 def edge_class() -> Column:
     """resolved, parametric, unresolved or external, of (target_file_id, raw, kind)."""
     return F.when(F.col("target_file_id").isNotNull(), "resolved").when(has_markers(F.coalesce("raw", F.lit(""))), "parametric").when(F.col("kind") == "unresolved", "unresolved").otherwise("external")
@@ -143,8 +148,8 @@ def candidates(roles: tuple[str, ...] = ("roles",)) -> Column:
 def first_match(edges: DataFrame, files: DataFrame, candidate: Column) -> DataFrame:
     """``edges`` (project_id, edge_id, …) with target_file_id of the first candidate path that is a file, else null."""
     tried = edges.select("project_id", "edge_id", F.posexplode(candidate).alias("pos", "rel_path")).where("rel_path is not null")
-    hit = tried.join(files.select("project_id", "rel_path", "file_id"), ["project_id", "rel_path"]).groupBy("project_id", "edge_id").agg(F.min_by("file_id", "pos").alias("target_file_id"))
-    return edges.join(hit, ["project_id", "edge_id"], "left")
+    hit = tried.join(_shuffled(files.select("project_id", "rel_path", "file_id")), ["project_id", "rel_path"]).groupBy("project_id", "edge_id").agg(F.min_by("file_id", "pos").alias("target_file_id"))
+    return edges.join(_shuffled(hit), ["project_id", "edge_id"], "left")
 
 
 def symbol_targets(edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -158,15 +163,15 @@ def symbol_targets(edges: DataFrame, files: DataFrame) -> DataFrame:
     known = files.select("project_id", F.col("rel_path").alias("source_rel"), "file_id")
     helm = kind.isin("helm_include", "helm_define")
     refs = edges.where(kind.isin(*TF_SYMBOLS, "helm_include")).select("project_id", "edge_id", "source_rel", "kind", "raw")
-    refs = refs.join(known, ["project_id", "source_rel"], "left").join(nearest_chart(files), "file_id", "left")
+    refs = refs.join(_shuffled(known), ["project_id", "source_rel"], "left").join(_shuffled(nearest_chart(files)), "file_id", "left")
     prefix = F.coalesce(*(F.when(kind == k, v) for k, v in TF_SYMBOLS.items()))
     name = F.when(helm, F.col("raw")).otherwise(F.concat_ws(".", prefix, F.substring_index("raw", ".", -1)))
     refs = refs.select("project_id", "edge_id", helm.alias("helm"), F.when(helm, F.col("chart_dir")).otherwise(paths.dir_name(source)).alias("scope"), name.alias("name"))
     chart = F.when(source.rlike("^(?:.*/)?templates/"), F.regexp_extract(source, "^(?:(.*)/)?templates/", 1))
-    declared = edges.where(kind.isin(*DECLARATIONS)).join(known, ["project_id", "source_rel"])
+    declared = edges.where(kind.isin(*DECLARATIONS)).join(_shuffled(known), ["project_id", "source_rel"])
     declared = declared.select("project_id", helm.alias("helm"), F.when(helm, chart).otherwise(paths.dir_name(source)).alias("scope"), F.col("raw").alias("name"), "source_rel", "file_id")
     declared = declared.groupBy("project_id", "helm", "scope", "name").agg(F.max_by("file_id", "source_rel").alias("declared_in"))
-    return refs.join(declared, ["project_id", "helm", "scope", "name"]).select("project_id", "edge_id", "declared_in")
+    return refs.join(_shuffled(declared), ["project_id", "helm", "scope", "name"]).select("project_id", "edge_id", "declared_in")
 
 
 def module_dirs(edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -176,7 +181,7 @@ def module_dirs(edges: DataFrame, files: DataFrame) -> DataFrame:
     here = F.regexp_replace(F.regexp_replace(raw, r"^\$\{path\.module\}/", "./"), r"^\$\{path\.root\}/", "/")
     asked = local.select("project_id", "edge_id", paths.resolve(F.col("source_rel"), here).alias("dir"))
     first = files.where(F.col("rel_path").endswith(".tf")).groupBy("project_id", paths.dir_name(F.col("rel_path")).alias("dir")).agg(F.min_by("file_id", "rel_path").alias("first_tf"))
-    return asked.join(first, ["project_id", "dir"]).select("project_id", "edge_id", "first_tf")
+    return asked.join(_shuffled(first), ["project_id", "dir"]).select("project_id", "edge_id", "first_tf")
 
 
 def module_files(edges: DataFrame, files: DataFrame, libraries: tuple[str, ...] = ("library",)) -> DataFrame:
@@ -186,7 +191,7 @@ def module_files(edges: DataFrame, files: DataFrame, libraries: tuple[str, ...]
     for d in libraries:
         inside = inside | path.startswith(f"{d}/") | F.contains(path, F.lit(f"/{d}/"))
     own = files.where(inside & path.endswith(".py")).groupBy("project_id", F.regexp_replace(paths.base_name(path), r"\.py$", "").alias("raw")).agg(F.max_by("file_id", "rel_path").alias("module_file"))
-    return edges.where("kind = 'ansible_module'").select("project_id", "edge_id", "raw").join(own, ["project_id", "raw"]).select("project_id", "edge_id", "module_file")
+    return edges.where("kind = 'ansible_module'").select("project_id", "edge_id", "raw").join(_shuffled(own), ["project_id", "raw"]).select("project_id", "edge_id", "module_file")
 
 
 def _filled(column: str, values: Column) -> Column:
@@ -202,9 +207,10 @@ def resolve(edges: DataFrame, files: DataFrame, variables: Column | None = None,
     Always against all files, so an update gives what a rebuild gives.
     Declarations (``DECLARATIONS``) are used as targets and left out, as are
     Ansible modules that no library directory holds. ``variables`` is a map of
-    names to values.
+    names to values. The edges are stored first, as five steps read them, and
+    no side of a join is held in one place.
     """
-    asked = edges
+    asked = edges = stored(edges)
     if variables is not None:
         raw, symbol = _filled("raw", variables), _filled("symbol", variables)
         full = (raw.isNotNull() | F.col("raw").isNull()) & (symbol.isNotNull() | F.col("symbol").isNull())
@@ -212,7 +218,7 @@ def resolve(edges: DataFrame, files: DataFrame, variables: Column | None = None,
     out = first_match(asked.where(~F.col("kind").isin(*DECLARATIONS)), files, candidates(roles))
     for more in (symbol_targets(asked, files), module_dirs(asked, files), module_files(asked, files, libraries)):
         name = more.columns[-1]
-        out = out.join(more, ["project_id", "edge_id"], "left").withColumn("target_file_id", F.coalesce("target_file_id", name)).drop(name)
+        out = out.join(_shuffled(more), ["project_id", "edge_id"], "left").withColumn("target_file_id", F.coalesce("target_file_id", name)).drop(name)
     out = out.where((F.col("kind") != "ansible_module") | F.col("target_file_id").isNotNull())
     return out if variables is None else out.withColumns({"raw": F.col("_raw"), "symbol": F.col("_symbol")}).drop("_raw", "_symbol")
 
@@ -226,7 +232,7 @@ def reresolved(edges: DataFrame, files: DataFrame, variables: Column) -> tuple[D
     templated = has_markers(F.coalesce("raw", F.lit(""))) | has_markers(F.coalesce("symbol", F.lit("")))
     before = edges.where(templated)
     after = resolve(before.drop("target_file_id"), files, variables)
-    both = before.select("project_id", "edge_id", F.col("target_file_id").alias("was")).join(after.select("project_id", "edge_id", "target_file_id"), ["project_id", "edge_id"])
+    both = before.select("project_id", "edge_id", F.col("target_file_id").alias("was")).join(_shuffled(after.select("project_id", "edge_id", "target_file_id")), ["project_id", "edge_id"])
     counts = both.agg(F.count_if(~F.col("was").eqNullSafe(F.col("target_file_id"))).alias("updated"), F.count_if(F.col("target_file_id").isNull()).alias("still_parametric"))
     return edges.where(~templated).unionByName(after.select(*edges.columns)), counts
 
@@ -242,7 +248,7 @@ def nearest_chart(files: DataFrame) -> DataFrame:
     """(file_id, chart_dir): the nearest directory above a file that holds a Chart.yaml, the root included."""
     charts = files.where(paths.base_name(F.col("rel_path")).isin("Chart.yaml", "Chart.yml")).select("project_id", paths.dir_name(F.col("rel_path")).alias("dir")).distinct()
     above = files.select("project_id", "file_id", F.posexplode(paths.ancestors(F.col("rel_path"))).alias("depth", "dir"))
-    return above.join(charts, ["project_id", "dir"]).groupBy("file_id").agg(F.max_by("dir", "depth").alias("chart_dir"))
+    return above.join(_shuffled(charts), ["project_id", "dir"]).groupBy("file_id").agg(F.max_by("dir", "depth").alias("chart_dir"))
 
 
 def traverse(edges: DataFrame, start: DataFrame, depth: int, reverse: bool = False, kinds: list[str] | None = None) -> DataFrame:

@@ -40,7 +40,8 @@ def _files(spark, sf_dir, *made: tuple[str, str, str]) -> DataFrame:
 
 def _raw(files: DataFrame) -> DataFrame:
     """Raw edges of files with what resolution reads."""
-    e = extractors.edges(files).join(files.select("project_id", "file_id", F.col("rel_path").alias("source_rel"), "lang"), "file_id")
+    # Not broadcast: the files are many times the table that they are made from.
+    e = extractors.edges(files).join(files.select("project_id", "file_id", F.col("rel_path").alias("source_rel"), "lang").hint("merge"), "file_id")
     return e.withColumn("edge_id", F.xxhash64("file_id", "kind", "raw", "symbol", "line")).withColumnRenamed("file_id", "source_file_id")
 
 

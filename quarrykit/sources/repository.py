@@ -91,7 +91,7 @@ def build(spark: SparkSession, root: str, project: int, rules: list[str] = (), v
     chunks, raw = index(files)
     chunks = stored(chunks.withColumn("project_id", F.lit(project).cast("long")))
     vectors = chunks.select("project_id", "chunk_id", encode(decompress(F.col("stored_text"))).alias("embedding"))
-    named = raw.join(files.select("file_id", "project_id", "lang", F.col("rel_path").alias("source_rel")), "file_id").withColumnRenamed("file_id", "source_file_id")
+    named = raw.join(files.select("file_id", "project_id", "lang", F.col("rel_path").alias("source_rel")).hint("merge"), "file_id").withColumnRenamed("file_id", "source_file_id")
     named = stored(named.withColumn("edge_id", F.xxhash64("source_file_id", "kind", "raw", "symbol", "line")).dropDuplicates(["edge_id"]))
     return {"files": files, "chunks": chunks, "vectors": vectors, "edges": edges.resolve(named, files.select("project_id", "file_id", "rel_path"), variables)}
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrykit.operators import memory
-from quarrykit.plans import catalogue
+from quarrykit.plans import catalogue, sources_catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -58,6 +58,15 @@ def test_first_lines_keep_their_digits(spark, tmp_path):
     assert differences(spark, tmp_path, "first_lines_and_terms", documents=("doc_id long, text string", list(enumerate(texts)))) == ([], [])
 
 
+REFERENCES = ("python", "javascript", "terraform", "helm", "argocd", "ansible", "workflow", "kustomize")
+
+
+@pytest.mark.parametrize("name", [*(f"{r}_references" for r in REFERENCES), "msbuild_projects_resolved", "variables_reresolved"])
+def test_resolution_holds_no_files_in_the_driver(spark, name):
+    plan = getattr(sources_catalogue, name)(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "MapInArrow" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__
 
