@@ -58,6 +58,11 @@ def test_first_lines_keep_their_digits(spark, tmp_path):
     assert differences(spark, tmp_path, "first_lines_and_terms", documents=("doc_id long, text string", list(enumerate(texts)))) == ([], [])
 
 
+def test_scrubbed_keys_equal_sql_on_odd_texts(spark, tmp_path):
+    texts = ['stattoken = "a"', '1token = "a"', 'my_token="a"', 'my-token="a"', 'ñtoken = "a"', 'secret = "a"', 'token = "a\\"b" c"', 'x = "token = "a" "', 'token="a', 'Token = "a"', "", None, 'token\t=\n"a\nb" token = "" token="c"', 'token\xa0= "a"', 'token = $1 "a" token = "$1\\"', 'tokens = "a" .token = "b"']
+    assert differences(spark, tmp_path, "scrub_key_values", documents=("doc_id long, text string", list(enumerate(texts)))) == ([], [])
+
+
 REFERENCES = ("python", "javascript", "terraform", "helm", "argocd", "ansible", "workflow", "kustomize")
 
 
