@@ -7,7 +7,8 @@ What is left of a part is cut into shards; the transform of each is built by
 itself, and the transforms are merged by iterative interleave refinement: a
 pass deals the interleave out by the symbols in front of the suffixes, so that
 after h passes it is sorted by h symbols, and suffixes that part in a pass give
-their common prefix. No suffixes are sorted again. Runs of suffixes with a
+their common prefix; those that have parted from both neighbours are dealt out
+no more. No suffixes are sorted again. Runs of suffixes with a
 common prefix of 100 bytes are the repeated windows; all but the first place of
 each run is removed. Symbols are 4 exact bytes in their order, so 25 passes do
 and nothing rests on hashes being different.
@@ -169,24 +170,25 @@ class Transform:
         n = len(symbols)
         local = np.arange(n, dtype=np.int32) - np.repeat(begins, sizes).astype(np.int32)
         rest = np.repeat(sizes, sizes).astype(np.int32) - 1 - local
-
-        def then(rank: np.ndarray, step: int) -> np.ndarray:
-            """The rank ``step`` bytes on; 0 beyond the piece."""
-            out = np.zeros(n, np.int64)
-            out[: max(0, n - step)] = rank[step:]
-            out[rest < step] = 0
-            return out
-
+        # Ranks are places in the order, counted from 1; 0 is beyond the piece. Suffixes that are alone in their rank are done.
         rank, known = symbols.astype(np.int64), SYMBOL
-        while known < length:
+        order = np.empty(n, np.int64)
+        open_, places = np.arange(n), np.arange(n)
+        while True:
             step = min(known, length - known)
-            pair = (rank << 32) | then(rank, step)
-            order = np.argsort(pair, kind="stable")
-            pair = pair[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate(([False], pair[1:] != pair[:-1])))
+            inside = (rest.take(open_) >= step) & (step > 0)
+            after = rank.take(np.minimum(open_ + step, n - 1)) * inside
+            by, parted = _paired(rank.take(open_), after)
+            open_ = open_.take(by)
+            order[places] = open_
+            if known == SYMBOL:
+                rank = np.empty(n, np.int64)
+            rank[open_] = np.maximum.accumulate((places + 1) * parted)
             known += step
-        order = np.argsort(rank, kind="stable") if known == SYMBOL else order
+            many = ~(parted & np.append(parted[1:], True))
+            open_, places = open_.compress(many), places.compress(many)
+            if known >= length or not len(open_):
+                break
         self.places = (order + first).astype(np.int32)
         front = np.zeros(n, symbols.dtype)
         front[SYMBOL:] = symbols[: max(0, n - SYMBOL)]
@@ -194,6 +196,22 @@ class Transform:
         self.front = front[order]
 
 
+def _paired(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stable order of the pairs, whether each differs from the one before). Where pair and place fit a word, words are sorted: that is several times faster."""
+    n = len(first)
+    bits = int(max(first.max(), second.max())).bit_length()
+    low = n.bit_length()
+    if 2 * bits + low < 64:
+        word = (((first.astype(np.int64) << bits) | second) << low) | np.arange(n)
+        word.sort()
+        order, pair = word & ((1 << low) - 1), word >> low
+    else:
+        pair = (first.astype(np.int64) << 32) | second
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+    return order, np.concatenate(([True], pair[1:] != pair[:-1]))
+
+
 def _stable(keys: np.ndarray, most: int) -> np.ndarray:
     """Stable order of small integers, 16 bits at a time."""
     if most < 1 << 16:
@@ -205,30 +223,37 @@ def _stable(keys: np.ndarray, most: int) -> np.ndarray:
 def interleave(shards: list[Transform], alphabet: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Merge the transforms: (places in the merged order, common prefix of each with the one before, ``length`` at most).
 
-    The interleave, which says from which shard the next suffix comes, starts
-    as one shard after the other. A pass deals it out by the symbols in front:
-    sorted by h symbols it becomes sorted by h + 1, and suffixes that part for
-    the first time share h symbols. No suffix is compared with another.
+    The interleave, which says what suffix comes next, starts as one shard
+    after the other. A pass deals it out by the symbols in front: sorted by h
+    symbols it becomes sorted by h + 1, and suffixes that part for the first
+    time share h symbols. No suffix is compared with another. One that has
+    parted from both neighbours has its place, so a pass deals out only what
+    leads to the others.
     """
-    fronts = np.concatenate([t.front for t in shards])
-    source = np.repeat(np.arange(len(shards)), [len(t.front) for t in shards]).astype(np.uint16)
-    n = len(fronts)
+    # What each suffix is led to from by which symbol in front; suffixes are numbered shard by shard in their order there.
+    orders = [_stable(t.front, alphabet) for t in shards]
+    begins = np.cumsum([0, *(len(o) for o in orders)])
+    follows = np.concatenate([(o + b).astype(np.int32) for o, b in zip(orders, begins, strict=False)])
+    symbol = np.concatenate([t.front.take(o) for t, o in zip(shards, orders, strict=True)])
+    n = len(follows)
+    merged = np.empty(n, np.int32)
     common = np.full(n, length, np.int32)
     common[0] = 0
-    block = np.zeros(n, np.int32)
-    index = np.empty(n, np.int64)
+    block = np.zeros(n, np.int32)  # of each suffix: where those begin that share h symbols with it
+    suffix = places = np.arange(n, dtype=np.int32)
     for h in range(length // SYMBOL):
-        index[np.argsort(source, kind="stable")] = np.arange(n)  # the next unread suffix of each shard
-        symbol = fronts[index]
-        order = _stable(symbol, alphabet)
-        symbol, source, block = symbol[order], source[order], block[order]
-        parted = np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1]))) | (symbol == 0)
-        common[parted & (common == length)] = h * SYMBOL
-        block = np.cumsum(parted, dtype=np.int32)
-        if block[-1] == n:
+        by, parted = _paired(symbol, block.take(follows))
+        suffix, follows, symbol = suffix.take(by), follows.take(by), symbol.take(by)
+        parted |= symbol == 0
+        merged[places] = suffix
+        block[suffix] = np.maximum.accumulate(places * parted)
+        new = places.compress(parted)
+        common[new.compress(common.take(new) == length)] = h * SYMBOL
+        many = ~(parted & np.append(parted[1:], True))
+        suffix, follows, symbol, places = (c.compress(many) for c in (suffix, follows, symbol, places))
+        if not len(places):
             break
-    index[np.argsort(source, kind="stable")] = np.arange(n)
-    return np.concatenate([t.places for t in shards])[index], common
+    return np.concatenate([t.places for t in shards])[merged], common
 
 
 def merge(pieces: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
@@ -248,8 +273,10 @@ def merge(pieces: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BY
     for k in range(SYMBOL):
         word[: len(cat) - k] |= cat[k:].astype(np.uint32) << np.uint32(8 * (SYMBOL - 1 - k))
     rest = np.repeat(begins + sizes, held) - np.arange(len(cat))
-    alphabet, symbols = np.unique(word, return_inverse=True)
-    symbols = (symbols + 1).astype(np.int32)
+    order, parted = _paired(word, np.zeros(1, np.int64))
+    symbols = np.empty(len(cat), np.int32)
+    symbols[order] = numbers = np.cumsum(parted, dtype=np.int32)
+    alphabet = int(numbers[-1])
     symbols[rest < SYMBOL] = 0
     shards, first = [], 0
     while first < len(pieces):
@@ -257,7 +284,7 @@ def merge(pieces: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BY
         a, z = int(begins[first]), int(begins[last]) if last < len(pieces) else len(cat)
         shards.append(Transform(symbols[a:z], begins[first:last] - a, held[first:last], a, length))
         first = last
-    places, common = interleave(shards, len(alphabet) + 1, length)
+    places, common = interleave(shards, alphabet + 1, length)
     # Suffixes that share ``length`` bytes stand together; all but the first place of each run came before.
     runs = np.flatnonzero(common < length)
     leader = np.repeat(np.minimum.reduceat(places, runs), np.diff(np.append(runs, len(places))))

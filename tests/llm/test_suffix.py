@@ -87,5 +87,29 @@ def test_interleave_orders_suffixes_and_gives_common_prefixes():
         assert own == n and (n == 20 or len(x) < n + 4 or x[n : n + 4] < y[n : n + 4])
 
 
+def test_passes_deal_out_only_suffixes_without_a_place(monkeypatch):
+    r = random.Random(7)
+    pieces = [bytes(r.randrange(97, 123) for _ in range(500)) for _ in range(8)]
+    pieces.append(pieces[0][100:300])
+    rows = []
+    for name in ("_stable", "_paired"):
+        known = getattr(suffix, name, None)
+        if known:
+            monkeypatch.setattr(suffix, name, lambda first, more, known=known: (rows.append(len(first)), known(first, more))[1])
+    for shard_bytes in (1000, 1 << 18):
+        rows.clear()
+        assert suffix.merge(pieces, 100, shard_bytes).tolist() == windows(pieces, 100)
+        assert sum(rows) < 12 * sum(map(len, pieces))  # 25 passes over all would be more
+
+
+@pytest.mark.parametrize("most", [5, 1 << 20, 1 << 30])
+def test_pairs_stand_in_stable_order(most):
+    first, second = np.random.default_rng(2).integers(0, most, (2, 4000)).astype(np.int32)
+    order, parted = suffix._paired(first, second)
+    want = np.lexsort((second, first))
+    assert order.tolist() == want.tolist()
+    assert parted.tolist() == [True, *((first[want][1:] != first[want][:-1]) | (second[want][1:] != second[want][:-1])).tolist()]
+
+
 def test_empty(empty):
     assert suffix.dedup(empty).count() == 0
